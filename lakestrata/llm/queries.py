@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import language, licenses, mixing, packing, quality, secrets, warc
+from . import language, licenses, mixing, packing, quality, secrets, simhash, warc
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -31,6 +31,10 @@ def op5_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.find_secrets(table(spark, sf_dir, "documents"))
 
 
+def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.simhash(table(spark, sf_dir, "documents"))
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(table(spark, sf_dir, "documents"))
 
@@ -44,7 +48,7 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_license_scans, op3_quality_rules, op4_packing, op5_secret_scans, op7_language_id, op8_mixing, op9_warc)}
+    return {f.__name__: f for f in (op1_license_scans, op3_quality_rules, op4_packing, op5_secret_scans, op6_simhash, op7_language_id, op8_mixing, op9_warc)}
 
 
 def oracle_sql() -> dict[str, str]:
