@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import language, licenses, mixing, packing, quality, secrets, simhash, warc
+from . import jaccard, language, licenses, mixing, packing, quality, secrets, simhash, warc
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -47,8 +47,12 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages"))
 
 
+def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.similar(table(spark, sf_dir, "documents"), words=4, percent=85)
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_license_scans, op3_quality_rules, op4_packing, op5_secret_scans, op6_simhash, op7_language_id, op8_mixing, op9_warc)}
+    return {f.__name__: f for f in (op1_license_scans, op3_quality_rules, op4_packing, op5_secret_scans, op6_simhash, op7_language_id, op8_mixing, op9_warc, op10_jaccard_join)}
 
 
 def oracle_sql() -> dict[str, str]:
