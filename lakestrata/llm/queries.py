@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import jaccard, language, licenses, mixing, packing, quality, secrets, simhash, warc
+from . import jaccard, language, licenses, mixing, packing, quality, secrets, simhash, suffixes, warc
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -16,6 +16,10 @@ def op1_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.find_licenses(table(spark, sf_dir, "documents"))
 
 
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.deduplicated(table(spark, sf_dir, "documents"))
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents"))
 
@@ -52,7 +56,7 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_license_scans, op3_quality_rules, op4_packing, op5_secret_scans, op6_simhash, op7_language_id, op8_mixing, op9_warc, op10_jaccard_join)}
+    return {f.__name__: f for f in (op1_license_scans, op2_suffix_dedup, op3_quality_rules, op4_packing, op5_secret_scans, op6_simhash, op7_language_id, op8_mixing, op9_warc, op10_jaccard_join)}
 
 
 def oracle_sql() -> dict[str, str]:
