@@ -141,17 +141,27 @@ def mixture(docs: DataFrame) -> DataFrame:
     )
 
 
+def _numbered(docs: DataFrame) -> DataFrame:
+    """docs with _j, which tells rows of one doc_id apart; rows are sorted only where there are such rows."""
+    if docs.groupBy("doc_id").count().filter("count > 1").isEmpty():
+        return docs.withColumn("_j", F.lit(0))
+    return docs.withColumn("_j", F.row_number().over(Window.partitionBy("doc_id").orderBy("source", "text")))
+
+
 def mixed(docs: DataFrame) -> DataFrame:
     """The mix as documents: for each document and pass the words of its taken blocks (the whole text where all are),
-    with the other columns of docs. Rows of one doc_id are taken as one document, the first by text, each time."""
-    sizes = materialize(sized(docs), "sizes")
+    with the other columns of docs. Documents without words, and those of which nothing is taken, go."""
+    numbered = _numbered(docs)
+    size = F.coalesce(F.regexp_count(F.col("text"), F.lit(WORD)), F.lit(0)).cast("long")
+    sizes = materialize(numbered.select("doc_id", "source", size.alias("size"), "_j"), "sizes")
     rows = placed(sizes)
     taken = _by_block(doc_blocks(rows), slots(materialize(targets(sizes), "targets")).select("source", "block", "pass"))
-    runs = taken.groupBy("doc_id", "pass").agg(F.sort_array(F.collect_list(F.struct("from", "to"))).alias("_runs")).withColumnRenamed("doc_id", "_doc_id")
-    joined = docs.join(runs, F.col("doc_id").eqNullSafe(F.col("_doc_id")))
+    runs = taken.groupBy("doc_id", "_j", "size", "pass").agg(F.sort_array(F.collect_list(F.struct("from", "to"))).alias("_runs"))
+    runs = runs.withColumnsRenamed({"doc_id": "_doc_id", "_j": "_k", "size": "_size"}).drop("pass")
+    joined = numbered.join(runs, F.col("doc_id").eqNullSafe(F.col("_doc_id")) & (F.col("_j") == F.col("_k")))
+    whole = F.aggregate("_runs", F.lit(0).cast("long"), lambda n, r: n + r["to"] - r["from"]) == F.col("_size")
     words = F.regexp_extract_all(F.col("text"), F.lit(WORD), F.lit(0))
-    some = F.array_join(F.flatten(F.transform("_runs", lambda r: F.slice(words, (r["from"] + 1).cast("int"), (r["to"] - r["from"]).cast("int")))), " ")
-    whole = F.aggregate("_runs", F.lit(0).cast("long"), lambda n, r: n + r["to"] - r["from"]) == F.coalesce(F.regexp_count(F.col("text"), F.lit(WORD)), F.lit(0))
+    some = F.element_at(F.transform(F.array(words), lambda w: F.array_join(F.flatten(F.transform("_runs", lambda r: F.slice(w, (r["from"] + 1).cast("int"), (r["to"] - r["from"]).cast("int")))), " ")), 1)
     joined = joined.withColumn("text", F.when(whole, F.col("text")).otherwise(some))
     if "n_chars" in docs.columns:
         joined = joined.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))

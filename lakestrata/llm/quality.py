@@ -96,5 +96,5 @@ def judge(docs: DataFrame) -> DataFrame:
 
 def keep_good(docs: DataFrame) -> DataFrame:
     """The documents that the rules keep, with all their columns. A doc_id goes if any of its rows is rejected."""
-    rejected = judge(docs).filter(~F.col("kept")).select("doc_id")
-    return docs.join(rejected.distinct(), "doc_id", "left_anti").select(docs.columns)
+    rejected = judge(docs).filter(~F.col("kept")).select(F.col("doc_id").alias("_rejected")).distinct()
+    return docs.join(rejected, F.col("doc_id").eqNullSafe(F.col("_rejected")), "left_anti")

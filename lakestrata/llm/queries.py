@@ -55,8 +55,14 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.similar(table(spark, sf_dir, "documents"), words=4, percent=85)
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_license_scans, op2_suffix_dedup, op3_quality_rules, op4_packing, op5_secret_scans, op6_simhash, op7_language_id, op8_mixing, op9_warc, op10_jaccard_join)}
+    return {f.__name__: f for f in (op1_license_scans, op2_suffix_dedup, op3_quality_rules, op4_packing, op5_secret_scans, op6_simhash, op7_language_id, op8_mixing, op9_warc, op10_jaccard_join, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
