@@ -12,16 +12,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-_PATH = F.concat(F.col("source"), F.lit("/"), F.col("lang"), F.lit("/"), F.lpad(F.col("doc_id").cast("string"), 8, "0"), F.lit(".txt"))
-_NONE = F.lit(None).cast("string")
-_D = F.col("doc_id")
+def _path():
+    return F.concat(F.col("source"), F.lit("/"), F.col("lang"), F.lit("/"), F.lpad(F.col("doc_id").cast("string"), 8, "0"), F.lit(".txt"))
 
 
-def _entries(docs: DataFrame, path=_PATH, text=F.col("text")) -> DataFrame:
+def _none():
+    return F.lit(None).cast("string")
+
+
+def _id(n: int):
+    return F.col("doc_id") % n
+
+
+def _entries(docs: DataFrame, path=None, text=None) -> DataFrame:
     """Entries of a documents table, each text a stored file."""
-    data = text.cast("binary")
+    path, data = _path() if path is None else path, (F.col("text") if text is None else text).cast("binary")
     rows = docs.select("doc_id", path.alias("path"), content_hash(data).alias("hash"), F.octet_length(data).cast("long").alias("size"))
-    return rows.select("path", "hash", "size", F.col("doc_id").alias("mtime_ns"), F.lit("content").alias("identity_mode"), F.col("hash").alias("blob_hash"), _NONE.alias("source_uri"), _NONE.alias("footer"))
+    return rows.select("path", "hash", "size", F.col("doc_id").alias("mtime_ns"), F.lit("content").alias("identity_mode"), F.col("hash").alias("blob_hash"), _none().alias("source_uri"), _none().alias("footer"))
 
 
 def base(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -30,15 +37,15 @@ def base(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def ours(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A tenth removed, a tenth edited, a tenth renamed."""
-    docs = table(spark, sf_dir, "documents").filter(_D % 10 != 1)
-    text = F.when(_D % 10 == 2, F.concat("text", F.lit("x"))).otherwise(F.col("text"))
-    return _entries(docs, F.when(_D % 10 == 3, F.concat(F.lit("new/"), _PATH)).otherwise(_PATH), text)
+    docs = table(spark, sf_dir, "documents").filter(_id(10) != 1)
+    text = F.when(_id(10) == 2, F.concat("text", F.lit("x"))).otherwise(F.col("text"))
+    return _entries(docs, F.when(_id(10) == 3, F.concat(F.lit("new/"), _path())).otherwise(_path()), text)
 
 
 def theirs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Edits that conflict with ours, a removal, edits alone, and edits of what ours removed."""
-    docs = table(spark, sf_dir, "documents").filter(_D % 10 != 4)
-    text = F.when(_D % 20 == 2, F.concat("text", F.lit("y"))).when((_D % 10 == 5) | (_D % 20 == 11), F.concat("text", F.lit("z"))).otherwise(F.col("text"))
+    docs = table(spark, sf_dir, "documents").filter(_id(10) != 4)
+    text = F.when(_id(20) == 2, F.concat("text", F.lit("y"))).when((_id(10) == 5) | (_id(20) == 11), F.concat("text", F.lit("z"))).otherwise(F.col("text"))
     return _entries(docs, text=text)
 
 
@@ -47,7 +54,7 @@ def half_meta(spark: SparkSession, sf_dir: str) -> DataFrame:
     odd = F.col("mtime_ns") % 2 == 1
     entries = base(spark, sf_dir)
     pick = lambda meta, c: F.when(odd, meta).otherwise(F.col(c)).alias(c)
-    return entries.select("path", pick(meta_hash(F.col("path"), F.col("size")), "hash"), "size", "mtime_ns", pick(F.lit("meta"), "identity_mode"), pick(_NONE, "blob_hash"), pick(F.concat(F.lit("mem://"), "path"), "source_uri"), "footer")
+    return entries.select("path", pick(meta_hash(F.col("path"), F.col("size")), "hash"), "size", "mtime_ns", pick(F.lit("meta"), "identity_mode"), pick(_none(), "blob_hash"), pick(F.concat(F.lit("mem://"), "path"), "source_uri"), "footer")
 
 
 def source_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -61,8 +68,8 @@ REMOVED = ["src1", "src2/en"]
 
 def staged_additions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Replacements, new paths that sort first, and additions below a removed directory."""
-    docs = table(spark, sf_dir, "documents").filter(_D % 25 == 0)
-    path = F.when(_D % 3 == 0, _PATH).when(_D % 3 == 1, F.concat(F.lit("0/"), _PATH)).otherwise(F.concat(F.lit("src1/added/"), _D.cast("string")))
+    docs = table(spark, sf_dir, "documents").filter(_id(25) == 0)
+    path = F.when(_id(3) == 0, _path()).when(_id(3) == 1, F.concat(F.lit("0/"), _path())).otherwise(F.concat(F.lit("src1/added/"), F.col("doc_id").cast("string")))
     return _entries(docs, path, F.concat("text", F.lit("+")))
 
 

@@ -121,11 +121,11 @@ def _(spark, sf):
     return snapshot.move(fx.half_meta(spark, sf), "src1", "archive/one")
 
 
-@query("move_collisions", fx.sql("base", "ours", body="SELECT DISTINCT b.path FROM base b WHERE starts_with(b.path, 'src1/') AND 'new/' || b.path IN (SELECT path FROM ours)"))
+@query("move_collisions", fx.sql("base", "ours", body="SELECT DISTINCT b.path FROM base b WHERE starts_with(b.path, 'src3/') AND 'new/' || b.path IN (SELECT path FROM ours)"))
 def _(spark, sf):
     # Entries that `ours` renamed are moved back to where a copy of the base still is.
-    entries = snapshot.with_prefix(fx.ours(spark, sf), "new/src1/").unionByName(snapshot.within(fx.base(spark, sf), "src1"))
-    return snapshot.move_collisions(entries, "new/src1", "src1")
+    entries = snapshot.with_prefix(fx.ours(spark, sf), "new/src3/").unionByName(snapshot.within(fx.base(spark, sf), "src3"))
+    return snapshot.move_collisions(entries, "new/src3", "src3")
 
 
 @query("move_staged", fx.sql("base", body="SELECT path, 'remove' AS action, NULL AS identity_mode, NULL AS source_uri, NULL AS blob_hash, NULL AS size FROM base WHERE starts_with(path, 'src4/') UNION ALL SELECT 'moved' || substr(path, 5), 'add', identity_mode, source_uri, blob_hash, size FROM base WHERE starts_with(path, 'src4/')"))
