@@ -10,20 +10,33 @@ from .functions.paths import is_entry_path
 
 CONTENT, META = "content", "meta"
 
-_DDL = {
-    "ENTRY": "path string not null, hash string not null, size long not null, mtime_ns long not null, identity_mode string not null, blob_hash string, source_uri string, footer string",
-    "TREE_NODE": "tree_hash string, name string, kind string, hash string, size long, mtime_ns long, source_uri string, footer string",
-    "COMMIT": "id string, message string, tree string, parents array<string>, created_at string, branch string, generation int",
-    "REF": "branch string, commit_id string, version_token string",
-    "STAGE": "path string, action string, identity_mode string, source_uri string, blob_hash string, size long",
-    "REFLOG": "branch string, old string, new string, operation string, ts string",
-    "FOOTER": "footer string, schema_hash string, created_by string, schema array<struct<name:string,type:string>>, row_groups array<struct<rows:bigint,columns:array<struct<path:string,typ:string,min_l:bigint,max_l:bigint,min_d:double,max_d:double,min_s:string,max_s:string,min_b:boolean,max_b:boolean,nulls:bigint,exact:boolean>>>>",
-    "RG_STATS": "path string, footer string, rg int, rows long, col string, typ string, min_l long, max_l long, min_d double, max_d double, min_s string, max_s string, min_b boolean, max_b boolean, nulls long, exact boolean",
-    "DIFF": "path string, change string, before_hash string, after_hash string, before_size long, after_size long",
-    "PRUNE": "path string, footer string, total_row_groups int, kept array<int>, pruned array<int>",
-    "FILES": "path string, hash string, size long, mtime_ns long, footer string, commit_id string, branch string",
-}
-ENTRY, TREE_NODE, COMMIT, REF, STAGE, REFLOG, FOOTER, RG_STATS, DIFF, PRUNE, FILES = (T.StructType.fromDDL(_DDL[name]) for name in _DDL)
+_TYPES = {"string": T.StringType(), "long": T.LongType(), "int": T.IntegerType(), "double": T.DoubleType(), "boolean": T.BooleanType(), "strings": T.ArrayType(T.StringType()), "ints": T.ArrayType(T.IntegerType())}
+
+
+def _struct(text: str, **nested: T.DataType) -> T.StructType:
+    """A schema from `name type[!]` items; `!` is not null. Needs no running session, unlike a DDL string."""
+    fields = []
+    for item in text.split(", "):
+        name, kind = item.split(" ")
+        fields.append(T.StructField(name, nested.get(kind) or _TYPES[kind.rstrip("!")], not kind.endswith("!")))
+    return T.StructType(fields)
+
+
+ENTRY = _struct("path string!, hash string!, size long!, mtime_ns long!, identity_mode string!, blob_hash string, source_uri string, footer string")
+TREE_NODE = _struct("tree_hash string, name string, kind string, hash string, size long, mtime_ns long, source_uri string, footer string")
+COMMIT = _struct("id string, message string, tree string, parents strings, created_at string, branch string, generation int")
+REF = _struct("branch string, commit_id string, version_token string")
+STAGE = _struct("path string, action string, identity_mode string, source_uri string, blob_hash string, size long")
+REFLOG = _struct("branch string, old string, new string, operation string, ts string")
+#: Typed lanes of a statistic: long, double, string, boolean.
+LANES = "min_l long, max_l long, min_d double, max_d double, min_s string, max_s string, min_b boolean, max_b boolean, nulls long, exact boolean"
+_COLUMN = _struct(f"path string, typ string, {LANES}")
+_GROUP = _struct("rows long, columns columns", columns=T.ArrayType(_COLUMN))
+FOOTER = _struct("footer string, schema_hash string, created_by string, schema names, row_groups groups", names=T.ArrayType(_struct("name string, type string")), groups=T.ArrayType(_GROUP))
+RG_STATS = _struct(f"path string, footer string, rg int, rows long, col string, typ string, {LANES}")
+DIFF = _struct("path string, change string, before_hash string, after_hash string, before_size long, after_size long")
+PRUNE = _struct("path string, footer string, total_row_groups int, kept ints, pruned ints")
+FILES = _struct("path string, hash string, size long, mtime_ns long, footer string, commit_id string, branch string")
 ENTRY_COLUMNS = ENTRY.fieldNames()
 
 _DIGEST = "^[0-9a-f]{64}$"
