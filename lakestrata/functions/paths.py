@@ -78,9 +78,9 @@ def basename(path: Column) -> Column:
 
 
 def glob_regex(pattern: str) -> str:
-    """A regular expression for pattern, matched from the right by whole components: `*` and `?` stay within one,
-    `**` is one component at least, save that a leading `**/` may also stand for none."""
-    relaxed = pattern.startswith("**/")
+    """A regular expression for pattern, matched from the right by whole components: `*` and `?` stay within one, and
+    `**` is one component, save that `**/name` also matches a name at the top."""
+    relaxed = pattern.startswith("**/") and "/" not in pattern[3:]
     parts = [p for p in (pattern[3:] if relaxed else pattern).split("/") if p != "."]
 
     def part(glob: str) -> str:
