@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.paths import basename, directory
+from ..shared import materialize
 
 SHARDS = 256
 
@@ -47,6 +48,30 @@ def merkle(entries: DataFrame, max_depth: int) -> DataFrame:
     return found
 
 
+def nodes(entries: DataFrame, max_depth: int) -> DataFrame:
+    """TREE_NODE rows: the children of each distinct directory, by its digest. Kinds are t (a directory), b and m (files
+    by identity mode), and bp and mp (those with statistics)."""
+    digests = materialize(merkle(entries, max_depth), "merkle")
+    kind = F.concat(F.when(F.col("identity_mode") == "meta", "m").otherwise("b"), F.when(F.col("footer").isNotNull(), "p").otherwise(""))
+    files = entries.select(directory(F.col("path")).alias("dir"), basename(F.col("path")).alias("name"), kind.alias("kind"), "hash", "size", "mtime_ns", "source_uri", "footer")
+    none = lambda c, t: F.lit(None).cast(t).alias(c)
+    below = digests.filter("dir <> ''").select(
+        directory(F.col("dir")).alias("dir"), basename(F.col("dir")).alias("name"), F.lit("t").alias("kind"), F.col("digest").alias("hash"), none("size", "long"), none("mtime_ns", "long"), none("source_uri", "string"), none("footer", "string")
+    )
+    return files.unionByName(below).join(digests, "dir").withColumnRenamed("digest", "tree_hash").drop("dir").dropDuplicates(["tree_hash", "name"])
+
+
+def reachable_trees(tree_nodes: DataFrame, roots: DataFrame) -> DataFrame:
+    """tree_hash of every directory at or below roots (column tree_hash)."""
+    down = tree_nodes.filter("kind = 't'").select("tree_hash", F.col("hash").alias("child"))
+    found = frontier = materialize(roots.select("tree_hash").distinct(), "trees")
+    while True:
+        frontier = materialize(frontier.join(down, "tree_hash").select(F.col("child").alias("tree_hash")).distinct().join(found, "tree_hash", "left_anti"), "trees")
+        if frontier.isEmpty():
+            return found
+        found = found.unionByName(frontier)
+
+
 def depth_of(entries: DataFrame) -> int:
     """The number of directories above the deepest file."""
     return entries.agg(F.max(F.size(F.split("path", "/")) - 1)).first()[0] or 0

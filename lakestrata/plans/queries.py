@@ -12,6 +12,7 @@ from .. import schema
 from ..functions.identity import meta_hash
 from ..functions.paths import basename, directory, glob_regex, relative_key
 from ..operators import diff, graph, merge, prune, snapshot, tree
+from ..sources import manifest
 from . import catalog
 from . import fixtures as fx
 
@@ -222,6 +223,24 @@ def _(spark, sf):
     return tree.merkle(fx.base(spark, sf), 2)
 
 
+@query("tree_nodes", fx.sql("half_meta", body="SELECT regexp_extract(path, '[^/]*$') AS name, CASE WHEN identity_mode = 'meta' THEN 'm' ELSE 'b' END AS kind, size FROM half_meta UNION ALL SELECT regexp_extract(d, '[^/]*$'), 't', NULL FROM (SELECT DISTINCT regexp_replace(path, '/[^/]*$', '') AS d FROM half_meta UNION SELECT DISTINCT split_part(path, '/', 1) FROM half_meta)"))
+def _(spark, sf):
+    return tree.nodes(fx.half_meta(spark, sf), 2).select("name", "kind", "size")
+
+
+@query("tree_reachable", fx.sql("base", body="SELECT CAST(1 + count(DISTINCT regexp_replace(path, '/[^/]*$', '')) + count(DISTINCT split_part(path, '/', 1)) AS BIGINT) AS trees FROM base"))
+def _(spark, sf):
+    entries = fx.base(spark, sf)
+    root = tree.merkle(entries, 2).filter("dir = ''").select(F.col("digest").alias("tree_hash"))
+    return tree.reachable_trees(tree.nodes(entries, 2), root).agg(F.count(F.lit(1)).alias("trees"))
+
+
+@query("manifest_round_trip", fx.sql("half_meta", body=f"SELECT {ENTRY} FROM half_meta"))
+def _(spark, sf):
+    entries = fx.half_meta(spark, sf)
+    return manifest.parse(entries.select(manifest.line(entries).alias("value"))).drop("corrupt")
+
+
 @query("schema_fingerprint")
 def _(spark, sf):
     rows = [(t, fx.table(spark, sf, t).schema.json()) for t in ("lineitem", "orders", "events", "documents")]

@@ -174,3 +174,18 @@ def test_hash_agrees_with_python(spark):
 
     row = spark.createDataFrame([("é\n",)], "t string").select(content_hash(F.col("t").cast("binary")).alias("h")).first()
     assert row["h"] == hashlib.sha256("é\n".encode()).hexdigest()
+
+
+def test_manifest_lines(spark, tmp_path):
+    from lakestrata.sources import manifest
+
+    rows = entries(spark, {'odd "name"\\t': "x", "b": "y", "m/é": "meta:9"}).filter("path not like '%\\\\\\\\%'")
+    with_footer = rows.withColumn("footer", F.when(F.col("path") == "b", F.lit("f" * 64)))
+    manifest.write(with_footer, str(tmp_path / "m"))
+    back = manifest.read(spark, str(tmp_path / "m"))
+    assert sorted(map(str, back.select(schema.ENTRY_COLUMNS).collect())) == sorted(map(str, with_footer.select(schema.ENTRY_COLUMNS).collect()))
+    (tmp_path / "bad.txt").write_text('["b","ok","' + "0" * 64 + '",1,2]\n\n{"no"\n["b","short"]\n["m","p","' + "0" * 64 + '","x",2,"u"]\n')
+    found = manifest.read(spark, str(tmp_path / "bad.txt"), strict=False)
+    assert found.filter("corrupt is null").count() == 1 and found.filter("corrupt is not null").count() == 3
+    with pytest.raises(Exception, match="corrupt manifest line"):
+        manifest.read(spark, str(tmp_path / "bad.txt")).collect()
