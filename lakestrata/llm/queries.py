@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import jaccard, language, licenses, mixing, packing, quality, secrets, simhash, suffixes, warc
+from . import jaccard, language, licenses, mixing, oracles, packing, quality, secrets, simhash, suffixes, warc
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -66,4 +66,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op3_quality_rules": oracles.QUALITY, "op9_warc": oracles.WARC, "op10_jaccard_join": oracles.JACCARD}
