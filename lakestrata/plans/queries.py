@@ -32,7 +32,6 @@ def query(name: str, oracle: str | None = None):
 
 
 ENTRY = "path, hash, size, mtime_ns, identity_mode, blob_hash, source_uri, footer"
-ARRAY = lambda c: f"array_to_string({c}, ',')"
 
 # Scans, lookups and predicates
 
@@ -391,13 +390,13 @@ def _files(spark: SparkSession, sf: str) -> DataFrame:
     return catalog.files(fx.base(spark, sf), "c0ffee", "main")
 
 
-def catalog_query(name: str, spark_sql: str, duck: str | None = None) -> None:
-    """The same text for both engines, unless a dialect needs another one."""
+def catalog_query(name: str, text: str) -> None:
+    """The same text for both engines."""
 
-    @query(name, f"WITH base AS ({_FILES}), files AS (SELECT path, hash, size, mtime_ns, footer, 'c0ffee' AS commit_id, 'main' AS branch FROM base) {duck or spark_sql}")
+    @query(name, f"WITH base AS ({_FILES}), files AS (SELECT path, hash, size, mtime_ns, footer, 'c0ffee' AS commit_id, 'main' AS branch FROM base) {text}")
     def _(spark, sf):
         catalog.register(spark, files=_files(spark, sf), labels=fx.table(spark, sf, "labels"))
-        return catalog.sql(spark, spark_sql)
+        return catalog.sql(spark, text)
 
 
 _DOC = "CAST(regexp_extract(path, '([0-9]+)[.]txt$', 1) AS BIGINT)"
@@ -422,24 +421,20 @@ catalog_query("catalog_duplicates", "SELECT a.path AS path, b.path AS copy, a.ha
 catalog_query("catalog_intersect", "SELECT split_part(path, '/', 2) AS lang FROM files WHERE path LIKE 'src1/%' INTERSECT SELECT split_part(path, '/', 2) FROM files WHERE path LIKE 'src2/%'")
 catalog_query("catalog_except", "SELECT path FROM files EXCEPT SELECT path FROM files WHERE size > 1000")
 catalog_query("catalog_union", "SELECT path, 'large' AS kind FROM files WHERE size > 9000 UNION SELECT path, 'first' FROM files WHERE path LIKE 'src1/%'")
-catalog_query("catalog_dates", "SELECT date_trunc('DAY', timestamp_micros(mtime_ns * 3600000000)) AS day, CAST(count(*) AS BIGINT) AS n FROM files GROUP BY 1", "SELECT date_trunc('day', make_timestamp(mtime_ns * 3600000000)) AS day, CAST(count(*) AS BIGINT) AS n FROM files GROUP BY 1")
 catalog_query("catalog_subquery", f"SELECT path, size FROM (SELECT path, size, {_DIR} AS dir FROM files) f WHERE size > (SELECT avg(g.size) FROM (SELECT size, {_DIR} AS dir FROM files) g WHERE g.dir = f.dir)")
 
 
-@query("catalog_dates", ORACLE["catalog_dates"])
+@query("catalog_dates", f"WITH base AS ({_FILES}) SELECT date_trunc('day', make_timestamp(mtime_ns * 3600000000)) AS day, CAST(count(*) AS BIGINT) AS n FROM base GROUP BY 1")
 def _(spark, sf):
     day = F.date_trunc("DAY", F.timestamp_micros(F.col("mtime_ns") * 3600000000)).cast("timestamp_ntz")
     return _files(spark, sf).groupBy(day.alias("day")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("catalog_parents", fx.sql("commits", body="SELECT id, CAST(unnest([p1, p2]) AS VARCHAR) AS parent FROM commits"))
+@query("catalog_parents", fx.sql("commits", body="SELECT id, CAST(p1 AS VARCHAR) AS parent FROM commits WHERE p1 IS NOT NULL UNION ALL SELECT id, CAST(p2 AS VARCHAR) FROM commits WHERE p2 IS NOT NULL"))
 def _(spark, sf):
     return graph.edges(fx.commits(spark, sf))
 
 
-ORACLE["catalog_parents"] = fx.sql("commits", body="SELECT id, CAST(p1 AS VARCHAR) AS parent FROM commits WHERE p1 IS NOT NULL UNION ALL SELECT id, CAST(p2 AS VARCHAR) FROM commits WHERE p2 IS NOT NULL")
-
-
 @query("catalog_json", "SELECT event_id, json_extract_string(props, '$.k') AS k, event_type FROM events")
 def _(spark, sf):
     return fx.table(spark, sf, "events").select("event_id", F.get_json_object("props", "$.k").alias("k"), "event_type")

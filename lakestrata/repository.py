@@ -572,10 +572,9 @@ class Repository:
         needed = materialize(graph.transfer_plan(self._objects(commit_ids), target.store.objects()), "plan")
         blobs = needed.filter("kind = 'blob'")
         at = lambda store: F.concat(F.lit(store.url("blobs") + "/"), F.left("id", F.lit(2)), F.lit("/"), F.substring("id", 3, 64))
-        here = F.concat(F.lit(""), at(self.store))
         stored = self.store.objects().filter("kind = 'blob'")
         # Entries verified elsewhere may name blobs that this store never held; they stay missing on both sides.
-        copies = blobs.join(stored, ["kind", "id"], "left_semi").select(here.alias("source"), at(target.store).alias("target"))
+        copies = blobs.join(stored, ["kind", "id"], "left_semi").select(at(self.store).alias("source"), at(target.store).alias("target"))
         n = sources.copy_objects(copies).count()
         missing = needed.filter("kind = 'footer'").select(F.col("id").alias("footer"))
         if not missing.isEmpty():
