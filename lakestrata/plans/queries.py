@@ -445,8 +445,8 @@ def _(spark, sf):
     return _files(spark, sf).agg(F.approx_count_distinct("hash").alias("blobs"), F.approx_percentile("size", 0.5).alias("median"))
 
 
-@query("reflog_latest_first", "SELECT o_custkey AS branch, o_orderkey AS seq FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey DESC) AS rn FROM orders) t WHERE rn <= 3")
+@query("reflog_latest_first", "SELECT o_custkey AS branch, o_orderkey AS seq, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey DESC) AS place FROM orders")
 def _(spark, sf):
     latest = Window.partitionBy("o_custkey").orderBy(F.desc("o_orderkey"))
-    orders = fx.table(spark, sf, "orders").withColumn("rn", F.row_number().over(latest)).filter("rn <= 3")
-    return orders.select(F.col("o_custkey").alias("branch"), F.col("o_orderkey").alias("seq"))
+    orders = fx.table(spark, sf, "orders")
+    return orders.select(F.col("o_custkey").alias("branch"), F.col("o_orderkey").alias("seq"), F.row_number().over(latest).cast("long").alias("place"))
