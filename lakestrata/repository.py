@@ -23,7 +23,7 @@ from .functions.identity import meta_hash
 from .functions.paths import matches_glob, normalize_path, normalize_paths, normalize_patterns, relative_key, under
 from .operators import diff, graph, merge, prune, snapshot
 from .plans import catalog
-from .shared import materialize
+from .shared import importable, materialize
 from .sources import files as sources
 from .sources.files import META_DIR
 from .sources.store import Commit, Store, meta_uri
@@ -76,6 +76,7 @@ def _uri(root: str, path: str) -> str:
 class Repository:
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/") or "/"
+        importable(spark)
         self.store = Store(spark, meta_uri(self.root))
         text = self.store.read("config.json")
         if text is None:
