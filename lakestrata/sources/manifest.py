@@ -8,10 +8,17 @@
 
 from __future__ import annotations
 
+import json
+
+import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..schema import CONTENT, ENTRY_COLUMNS, META
+from .files import open_fs
+
+#: Bytes that a lookup reads at a time; a manifest line should fit.
+PAGE = 1 << 16
 
 
 def _json(c: str) -> Column:
@@ -57,3 +64,54 @@ def read(spark: SparkSession, path: str, strict: bool = True) -> DataFrame:
     # The check stands in the path, so no projection prunes it.
     good = parse(lines).withColumn("path", F.when(F.col("corrupt").isNull(), F.col("path")).otherwise(F.raise_error(F.concat(F.lit("corrupt manifest line: "), "corrupt")).cast("string")))
     return good.select(ENTRY_COLUMNS)
+
+
+def _line_after(f, at: int, size: int) -> tuple[int, bytes]:
+    """The first whole line that begins at `at` or later, and where it begins; (size, b"") if there is none."""
+    start = at
+    if at:
+        f.seek(at - 1)
+        while page := f.read(PAGE):
+            if (cut := page.find(b"\n")) >= 0:
+                start += cut
+                break
+            start += len(page)
+        else:
+            return size, b""
+    f.seek(start)
+    line_ = b""
+    while (page := f.read(PAGE)) and b"\n" not in page:
+        line_ += page
+    return start, (line_ + page).partition(b"\n")[0]
+
+
+def _path_of(text: bytes) -> str:
+    return json.loads(text)[1]
+
+
+def lookup(manifest: str, path: str) -> str | None:
+    """The line of one path in a manifest that write() made, or None. A binary search by bytes, which reads a few pages:
+    files are sorted among each other and within, so no index is kept. None also if there is no such manifest."""
+    fs, top = open_fs(manifest)
+    found = fs.get_file_info(pafs.FileSelector(top, allow_not_found=True))
+    want = path.encode()
+    for info in sorted((i for i in found if i.base_name.startswith("part-") and i.size), key=lambda i: i.base_name, reverse=True):
+        with fs.open_input_file(info.path) as f:
+            if _path_of(_line_after(f, 0, info.size)[1]).encode() > want:
+                continue
+            low, high = 0, info.size  # the line sought begins at low or later, and before high
+            while low < high:
+                middle = (low + high) // 2
+                start, text = _line_after(f, middle, info.size)
+                if start >= high or not text:
+                    high = middle
+                    continue
+                here = _path_of(text).encode()
+                if here == want:
+                    return text.decode()
+                if here < want:
+                    low = start + 1
+                else:
+                    high = middle
+            return None
+    return None

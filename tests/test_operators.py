@@ -189,3 +189,15 @@ def test_manifest_lines(spark, tmp_path):
     assert found.filter("corrupt is null").count() == 1 and found.filter("corrupt is not null").count() == 3
     with pytest.raises(Exception, match="corrupt manifest line"):
         manifest.read(spark, str(tmp_path / "bad.txt")).collect()
+
+
+def test_manifest_lookup(spark, tmp_path):
+    from lakestrata.sources import manifest
+
+    rows = {f"d{i % 7}/{'long' * (i % 40)}{i}": "x" for i in range(300)}
+    manifest.write(entries(spark, rows), str(tmp_path / "m"))
+    for path in rows:
+        assert manifest.lookup(str(tmp_path / "m"), path).startswith(f'["b","{path}",')
+    for path in ("a", "z", "d1", "d3/longlong"):
+        assert manifest.lookup(str(tmp_path / "m"), path) is None
+    assert manifest.lookup(str(tmp_path / "none"), "a") is None
