@@ -201,3 +201,15 @@ def test_manifest_lookup(spark, tmp_path):
     for path in ("a", "z", "d1", "d3/longlong"):
         assert manifest.lookup(str(tmp_path / "m"), path) is None
     assert manifest.lookup(str(tmp_path / "none"), "a") is None
+
+
+def test_intermediate_tables_can_be_discarded(spark):
+    import os
+
+    from lakestrata.shared import discard, materialize
+
+    discard(spark)
+    kept = materialize(spark.range(5).toDF("n"), "five")
+    path = kept.inputFiles()[0].removeprefix("file://").rpartition("/")[0]
+    assert kept.count() == 5 and os.path.isdir(path)
+    assert discard(spark) == 1 and not os.path.exists(path)
