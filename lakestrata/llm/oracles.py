@@ -44,3 +44,15 @@ reach AS (SELECT a, b FROM l UNION SELECT reach.a, l.b FROM reach JOIN l ON reac
 c AS (SELECT a, min(b) AS b FROM reach GROUP BY a)
 SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, least(d.doc_id, coalesce(c.b, d.doc_id)) AS component_id FROM d LEFT JOIN n USING (doc_id) LEFT JOIN c ON c.a = d.doc_id
 """
+
+REPEATS = """
+WITH b AS (SELECT doc_id, h, length(h) // 2 AS n FROM (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents)),
+w AS (SELECT doc_id, i, substr(h, 2 * i - 1, 200) AS s FROM b, unnest(range(1, n - 98)) r(i)),
+c AS (SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY s ORDER BY doc_id, i) AS k FROM w) WHERE k > 1),
+p AS (SELECT b.doc_id, p, substr(h, 2 * p - 1, 2) AS x FROM b, unnest(range(1, n + 1)) r(p)),
+l AS (SELECT p.doc_id, p, x, max(c.i) OVER (PARTITION BY p.doc_id ORDER BY p ROWS UNBOUNDED PRECEDING) AS last FROM p LEFT JOIN c ON c.doc_id = p.doc_id AND c.i = p.p),
+g AS (SELECT doc_id, p, x, coalesce(last >= p - 99, false) AS gone FROM l),
+e AS (SELECT *, gone AND NOT coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER BY p), false) AS starts FROM g),
+r AS (SELECT doc_id, CAST(count(*) FILTER (WHERE gone) AS BIGINT) AS n_removed, CAST(count(*) FILTER (WHERE starts) AS BIGINT) AS n_spans, string_agg(x, '' ORDER BY p) FILTER (WHERE NOT gone) AS kept FROM e GROUP BY doc_id)
+SELECT b.doc_id, CAST(n AS BIGINT) AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept, ''))) AS kept_sha256 FROM b LEFT JOIN r USING (doc_id)
+"""

@@ -66,4 +66,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_quality_rules": oracles.QUALITY, "op9_warc": oracles.WARC, "op10_jaccard_join": oracles.JACCARD}
+    return {"op2_suffix_dedup": oracles.REPEATS, "op3_quality_rules": oracles.QUALITY, "op9_warc": oracles.WARC, "op10_jaccard_join": oracles.JACCARD}
