@@ -72,7 +72,9 @@ def slots(goals: DataFrame) -> DataFrame:
     so_far = Window.partitionBy("source").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     drawn = drawn.withColumn("first", F.coalesce(F.sum("count").over(so_far), F.lit(0).cast("long")))
     last = F.least(F.col("first") + F.col("count"), F.col("n_blocks") * MOST_PASSES) - 1
-    numbered = drawn.filter(F.col("first") <= last).select("source", "n_blocks", "shard", F.explode(F.sequence("first", last)).alias("slot"))
+    # Few and small rows stand for many slots: they are dealt to all tasks by number, which AQE doesn't coalesce.
+    drawn = drawn.filter(F.col("first") <= last).repartition(int(goals.sparkSession.conf.get("spark.sql.shuffle.partitions")), "source", "shard")
+    numbered = drawn.select("source", "n_blocks", "shard", F.explode(F.sequence("first", last)).alias("slot"))
     turn = F.floor(F.col("slot") / F.col("n_blocks")).cast("long")
     return numbered.select("source", "n_blocks", "shard", turn.alias("pass"), (F.col("slot") % F.col("n_blocks")).alias("index")).select(
         "source", _permuted(F.col("index"), F.col("n_blocks"), F.col("source"), F.col("pass")).alias("block"), "pass", "shard"
@@ -117,7 +119,9 @@ def doc_blocks(rows: DataFrame) -> DataFrame:
 
 
 def _by_block(left: DataFrame, right: DataFrame) -> DataFrame:
-    right = right.withColumnsRenamed({"source": "_source", "block": "_block"})
+    """Joins by block index. Slots come from a row for each source, which says nothing of their number: estimates of it
+    must not choose a broadcast."""
+    right = right.hint("merge").withColumnsRenamed({"source": "_source", "block": "_block"})
     return left.join(right, F.col("source").eqNullSafe(F.col("_source")) & (F.col("block") == F.col("_block"))).drop("_source", "_block")
 
 
