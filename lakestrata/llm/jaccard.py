@@ -1,16 +1,19 @@
 """Jaccard self-join of word n-gram sets, and the connected components of its links.
 
 Equal sets are joined first: from then on there is one row for each distinct set (`sid`, a digest of the set). Two sets
-that link share a token among the first n - ceil(t n) + 1 of each, in any fixed order of tokens; the order puts the
-corpus's most frequent tokens last, so that prefixes hold rare ones. Sets that share a prefix token meet in tiles: by
-token, by band of sizes (sets that link are in the same band or in adjacent ones) and, for large groups, by pairs of
-hashed blocks, so that no task gathers an unbounded group. In a tile, the differing bits of two hashed bitmaps are a
-lower bound of the sets' symmetric difference, and so bound their overlap from above. Pairs that pass are verified by
-exact intersection of the sorted arrays.
-
-Only links that components need are verified. First each tile asks for a spanning forest of the pairs that pass, closest
-pairs first. Then every pair that passes and still lies across two components is verified, whole. So a dense group of
-near copies costs about as many verifications as it has members, and yet no link between components is missed.
+that link share a token among the first n - ceil(t n) + 1 of each, in any fixed order of tokens; the order puts long shingles
+first and the corpus's most frequent ones last, so that prefixes hold rare ones. Sets that share a prefix token meet in
+tiles: by token, by band of sizes (sets that link are in the same band or in adjacent ones) and, for large groups, by
+pairs of hashed blocks, so that no task gathers an unbounded group. Two members are compatible if their sizes, and the
+places of the shared token in both, allow a link. The differing bits of two hashed bitmaps are a lower bound of the
+sets' symmetric difference, and so bound their overlap from above. Pairs that pass are verified by exact intersection of
+the sorted arrays.
+
+Only links that components need are verified, in two rounds. In the first, each set joins the tiles of a few of its
+shared tokens (CHOSEN), and each tile asks for a spanning forest of the pairs that pass, closest pairs first. In the
+second, which leaves out nothing, every pair that passes in the tile of any shared token and still lies across two
+components is verified. So a dense group of near copies costs about as many verifications as it has members, and yet no
+link between components is missed.
 
 Edge cases: null or wordless text has an empty set, links with nothing and is its own component; fewer words than a
 shingle are one shingle; rows that share a doc_id are separate sets with that id; rows with a null doc_id link as any
@@ -22,23 +25,27 @@ from __future__ import annotations
 import hashlib
 import math
 from collections.abc import Iterator
-from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .common import materialize
 from .graph import components
 from .shingles import shingle_sets
 
-#: Tokens in at least LOCAL_OFTEN sets of an Arrow batch are counted over the corpus; the FREQUENT most frequent of
-#: them are ordered by their counts, after all other tokens. The order affects speed alone, and its table has a bound.
-LOCAL_OFTEN = 8
-FREQUENT = 1 << 16
+#: Tokens in at least LOCAL_OFTEN sets of an Arrow batch are counted over the corpus; at most FREQUENT of them, the most
+#: frequent, are ordered by their counts, after all other tokens. The order affects speed alone; its table is bounded.
+LOCAL_OFTEN = 3
+FREQUENT = 1 << 18
+#: Compatible pairs for each member up to which a tile gives its pairs; a denser tile gives its members.
+SPARSE = 2
 #: Members of a block; a tile holds two blocks of two bands at most.
 BLOCK = 512
+#: Shared tokens of a set, the most and the least frequent so many, whose tiles it joins in the first round.
+CHOSEN = 2
 #: Ids that may be broadcast to pick texts for verification; beyond, a shuffled join does.
 BROADCAST_IDS = 400_000
 NO_ID = -(1 << 63)
@@ -53,8 +60,9 @@ def _sid(tokens: np.ndarray) -> int:
 
 
 def _bitmap(tokens: np.ndarray) -> bytes:
-    """Bit (token mod width) for each token; the width, a power of two, is at least twice the number of tokens."""
-    width = max(512, 1 << (2 * len(tokens) - 1).bit_length())
+    """Bit (token mod width) for each token; the width, a power of two, is at least four times the number of tokens, so
+    that few differing tokens share a bit with others."""
+    width = max(256, 1 << (4 * len(tokens) - 1).bit_length())
     bits = np.zeros(width, np.uint8)
     bits[tokens & np.uint64(width - 1)] = 1
     return np.packbits(bits, bitorder="little").tobytes()
@@ -87,14 +95,35 @@ def measured(docs: DataFrame, words: int) -> tuple[DataFrame, DataFrame]:
     return both.filter("token is null").drop("token"), counts
 
 
+def most_frequent(counts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """The most frequent tokens, sorted, and their ranks, rarest first: those above the lowest count (in steps of
+    12 %) that no more than FREQUENT tokens reach. No task sorts them, and the driver gathers at most FREQUENT."""
+    level = F.floor(F.log2(F.col("count").cast("double")) * 6).cast("int")
+    counts = materialize(counts.withColumn("level", level), "counts")
+    least, n = None, 0
+    for at, here in sorted(((r["level"], r["count"]) for r in counts.groupBy("level").count().collect()), reverse=True):
+        n += here
+        if n > FREQUENT:
+            break
+        least = at
+    if least is None:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    top = counts.filter(F.col("level") >= least).select("token", "count").toArrow()
+    tokens, often = top.column("token").to_numpy().view(np.uint64), top.column("count").to_numpy()
+    order = np.argsort(tokens)
+    ranks = np.empty(len(tokens), np.int64)
+    ranks[np.lexsort((tokens, often))] = np.arange(len(tokens))
+    return tokens[order], ranks[order]
+
+
 def _prefix_length(n: int, percent: int) -> int:
     return n - -(-percent * n // 100) + 1
 
 
 def prefixes(docs: DataFrame, words: int, percent: int, frequent: np.ndarray) -> DataFrame:
-    """token, sid, n for the first tokens of each set. frequent: tokens, sorted, and their ranks, rarest first."""
+    """token, sid, n, pos for the first tokens of each set. frequent: tokens, sorted, and their ranks, rarest first."""
     order = docs.sparkSession.sparkContext.broadcast(frequent)
-    schema = pa.schema([("token", pa.int64()), ("sid", pa.int64()), ("n", pa.int32())])
+    schema = pa.schema([("token", pa.int64()), ("sid", pa.int64()), ("n", pa.int32()), ("pos", pa.int32())])
 
     def run(batches):
         known, rank = order.value
@@ -114,57 +143,170 @@ def prefixes(docs: DataFrame, words: int, percent: int, frequent: np.ndarray) ->
                 out.append((first, _sid(tokens), len(tokens)))
             if out:
                 sizes = [len(f) for f, _, _ in out]
-                columns = (np.concatenate([f for f, _, _ in out]).view(np.int64), np.repeat([s for _, s, _ in out], sizes), np.repeat(np.array([n for _, _, n in out], np.int32), sizes))
+                columns = (np.concatenate([f for f, _, _ in out]).view(np.int64), np.repeat([s for _, s, _ in out], sizes), np.repeat(np.array([n for _, _, n in out], np.int32), sizes), np.concatenate([np.arange(n, dtype=np.int32) for n in sizes]))
                 whole = pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
                 for i in range(0, whole.num_rows, 65536):
                     yield whole.slice(i, 65536)
 
-    return _docs(docs).mapInArrow(run, "token long, sid long, n int")
+    return _docs(docs).mapInArrow(run, "token long, sid long, n int, pos int")
 
 
-def tiles(entries: DataFrame, percent: int) -> DataFrame:
-    """token, band, low, high (the tile), sid, n and own (whether the set's band is the tile's). Tokens of one set only
-    are dropped; counts are pre-aggregated, and a large group is dealt to pairs of blocks."""
+def shared_tokens(entries: DataFrame) -> DataFrame:
+    """token, sid, n, pos, c for tokens that more than one set has; c, the number of entries, is pre-aggregated."""
     counts = entries.groupBy("token").agg(F.count(F.lit(1)).alias("c"), F.min("sid").alias("least"), F.max("sid").alias("most")).filter("least < most")
-    shared = entries.join(counts.select("token", "c"), "token").groupBy("token", "sid", "n").agg(F.max("c").alias("c"))
+    return entries.join(counts.select("token", "c"), "token").groupBy("token", "sid", "n").agg(F.min("pos").alias("pos"), F.max("c").alias("c"))
+
+
+def chosen_tokens(shared: DataFrame) -> DataFrame:
+    """The rows of shared for each set's CHOSEN most frequent and CHOSEN least frequent tokens."""
+    rank = lambda *order: F.row_number().over(Window.partitionBy("sid").orderBy(*order))
+    ranked = shared.withColumn("_most", rank(F.desc("c"), "token")).withColumn("_least", rank("c", "token"))
+    return ranked.filter((F.col("_most") <= CHOSEN) | (F.col("_least") <= CHOSEN)).drop("_most", "_least")
+
+
+def tiles(shared: DataFrame, percent: int) -> DataFrame:
+    """token, band, low, high (the tile) for each row of shared, with its block and whether the set's band is the
+    tile's (own). A large group is dealt to pairs of blocks."""
     # Bands a little wider than the threshold's ratio, so that rounding never parts two sets that link.
     band = F.floor(F.log(F.col("n").cast("double")) / -math.log(percent / 100 - 0.01)).cast("int")
     blocks = F.ceil(F.col("c") / BLOCK).cast("int")
-    dealt = shared.select("token", "sid", "n", band.alias("own_band"), blocks.alias("blocks"), F.pmod(F.xxhash64("sid"), blocks).cast("int").alias("block"))
-    dealt = dealt.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")).select("*", F.explode(F.array(F.col("own_band"), F.col("own_band") - 1)).alias("band"))
-    return dealt.select("token", "band", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "sid", "n", (F.col("band") == F.col("own_band")).alias("own"))
+    dealt = shared.withColumn("own_band", band).withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("sid"), F.col("blocks")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("band", F.explode(F.array(F.col("own_band"), F.col("own_band") - 1)))
+    dealt = dealt.withColumn("low", F.least("block", "other")).withColumn("high", F.greatest("block", "other")).withColumn("own", F.col("band") == F.col("own_band"))
+    return dealt.drop("own_band", "blocks", "other", "c")
+
+
+#: Columns of a tile's member, in the order of the tuples below; a bitmap may follow.
+MEMBER = ["block", "sid", "n", "own", "comp", "pos"]
+TILE = ["token", "band", "low", "high"]
+BLOCKN, SID, N, OWN, COMP, POS, BITMAP = range(7)
 
 
 def _fold(bitmap: bytes, width: int) -> np.ndarray:
     return np.bitwise_or.reduce(np.frombuffer(bitmap, np.uint64).reshape(-1, width // 8), axis=0)
 
 
-def _passing(members: list[tuple], percent: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """For each member i of a tile: i, the members j before it whose pair with i passes the bound, and the differing bits."""
-    width = min(len(m[5]) for m in members)
-    bits = np.stack([_fold(m[5], width) for m in members])
-    n = np.array([m[2] for m in members], np.int64)
-    own = np.array([m[3] for m in members])
-    block = np.array([m[0] for m in members])
-    comp = np.array([m[4] for m in members])
-    apart = members[0][6] != members[0][7]
+def _pairs_of_few(members: list[tuple], apart: bool, percent: int) -> list[tuple[int, int]]:
+    """The compatible pairs of a small tile: what _Tile says, without arrays."""
+    found = []
+    for i in range(1, len(members)):
+        a = members[i]
+        for j in range(i):
+            b = members[j]
+            if a[COMP] == b[COMP] or not (a[OWN] or b[OWN]) or (apart and a[BLOCKN] == b[BLOCKN]):
+                continue
+            n, m = a[N], b[N]
+            least = -(-percent * (n + m) // (100 + percent))
+            if 100 * min(n, m) >= percent * max(n, m) and a[POS] <= n - least and b[POS] <= m - least:
+                found.append((i, j))
+    return found
+
+
+class _Tile:
+    """The members of a tile as arrays."""
+
+    def __init__(self, members: list[tuple], apart: bool, percent: int):
+        self.apart, self.percent = apart, percent
+        block, _, n, own, comp, pos = zip(*(m[:BITMAP] for m in members))
+        self.block, self.n, self.own, self.comp, self.pos = np.array(block), np.array(n, np.int64), np.array(own), np.array(comp), np.array(pos, np.int64)
+
+    def compatible(self, i: int) -> np.ndarray:
+        """The members j before i that may link with i: of another component, this tile's concern, near enough in size,
+        and with no more tokens before the shared one, in either, than two sets that link can have apart."""
+        n, m = self.n[:i], self.n[i]
+        least = -(-self.percent * (n + m) // (100 + self.percent))  # tokens that both must have
+        can = (self.own[:i] | self.own[i]) & (self.comp[:i] != self.comp[i]) & (100 * np.minimum(n, m) >= self.percent * np.maximum(n, m))
+        can &= (self.pos[:i] <= n - least) & (self.pos[i] <= m - least)
+        if self.apart:
+            can &= self.block[:i] != self.block[i]
+        return np.flatnonzero(can)
+
+
+def _streamed(batches, columns: list[str]):
+    """Groups of equal tiles from batches that are sorted by TILE: the tile and its members' tuples."""
+    tile, members = None, []
+    for batch in batches:
+        for key, row in zip(zip(*(batch.column(c).to_pylist() for c in TILE)), zip(*(batch.column(c).to_pylist() for c in columns))):
+            if key != tile:
+                if members:
+                    yield tile, members
+                tile, members = key, []
+            members.append(row)
+    if members:
+        yield tile, members
+
+
+def _dealt(tiled: DataFrame, columns: list[str]) -> DataFrame:
+    return tiled.select(*TILE, *columns).repartition(*TILE).sortWithinPartitions(*TILE, "sid")
+
+
+def met(tiled: DataFrame, percent: int) -> DataFrame:
+    """What meets in tiles. A tile with few compatible pairs for its members (SPARSE each) gives the pairs: a, b. A
+    dense one gives its members that have a compatible partner, for bitmaps to sort out: the tile and MEMBER."""
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("token", pa.int64()), ("band", pa.int32()), ("low", pa.int32()), ("high", pa.int32()), ("block", pa.int32()), ("sid", pa.int64()), ("n", pa.int32()), ("own", pa.bool_()), ("comp", pa.int64()), ("pos", pa.int32())])
+
+    def run(batches):
+        seen: set[tuple[int, int]] = set()
+        rows: list[tuple] = []
+
+        def flush():
+            part = [(*p, *[None] * 10) for p in seen] + rows
+            seen.clear()
+            rows.clear()
+            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*part), schema)], schema=schema)
+
+        for tile, members in _streamed(batches, MEMBER):
+            if len(members) < 2 or not any(m[OWN] for m in members):
+                continue
+            apart = tile[2] != tile[3]
+            if len(members) <= 8:
+                found = _pairs_of_few(members, apart, percent)
+                total, used = len(found), {i for pair in found for i in pair}
+            else:
+                t = _Tile(members, apart, percent)
+                found, total, used = [], 0, set()
+                for i in range(1, len(members)):
+                    js = t.compatible(i).tolist()
+                    total += len(js)
+                    if js:
+                        used.update(js, (i,))
+                    if total <= SPARSE * len(members):
+                        found += [(i, j) for j in js]
+            if total <= SPARSE * len(members):
+                seen.update((min(members[i][SID], members[j][SID]), max(members[i][SID], members[j][SID])) for i, j in found)
+            else:
+                rows.extend((None, None, *tile, *members[i]) for i in sorted(used))
+            if len(seen) + len(rows) > 50_000:
+                yield flush()
+        if seen or rows:
+            yield flush()
+
+    return _dealt(tiled, MEMBER).mapInArrow(run, "a long, b long, token long, band int, low int, high int, block int, sid long, n int, own boolean, comp long, pos int")
+
+
+def _overlap(differ, n, m):
+    """No more tokens than these are in both of two sets whose bitmaps differ in so many bits."""
+    return (n + m - differ) // 2
+
+
+def _passing(members: list[tuple], apart: bool, percent: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """For each member i of a tile: the members j before it whose pair with i passes the bound, and the differing bits."""
+    width = min(len(m[BITMAP]) for m in members)
+    bits = np.stack([_fold(m[BITMAP], width) for m in members])
+    t = _Tile(members, apart, percent)
     for i in range(1, len(members)):
-        can = (own[:i] | own[i]) & (comp[:i] != comp[i]) & (100 * np.minimum(n[:i], n[i]) >= percent * np.maximum(n[:i], n[i]))
-        if apart:
-            can &= block[:i] != block[i]
-        j = np.flatnonzero(can)
-        if not len(j):
-            continue
-        differ = np.bitwise_count(bits[j] ^ bits[i]).sum(axis=1, dtype=np.int64)
-        both = (n[j] + n[i] - differ) // 2  # no more tokens than these can be in both
-        ok = 100 * both >= percent * (n[j] + n[i] - both)
-        if ok.any():
-            yield i, j[ok], differ[ok]
-
-
-def _forest(members: list[tuple], percent: int) -> list[tuple[int, int]]:
+        j = t.compatible(i)
+        if len(j):
+            differ = np.bitwise_count(bits[j] ^ bits[i]).sum(axis=1, dtype=np.int64)
+            both = _overlap(differ, t.n[j], t.n[i])
+            ok = 100 * both >= percent * (t.n[j] + t.n[i] - both)
+            if ok.any():
+                yield i, j[ok], differ[ok]
+
+
+def _forest(members: list[tuple], apart: bool, percent: int) -> list[tuple[int, int]]:
     """A spanning forest of the pairs that pass, those with the fewest differing bits for their size first."""
-    edges = [(float(d) / (members[i][2] + members[j][2]), i, int(j)) for i, js, ds in _passing(members, percent) for j, d in zip(js, ds)]
+    edges = [(float(d) / (members[i][N] + members[j][N]), i, int(j)) for i, js, ds in _passing(members, apart, percent) for j, d in zip(js, ds)]
     edges.sort()
     root = list(range(len(members)))
 
@@ -183,45 +325,53 @@ def _forest(members: list[tuple], percent: int) -> list[tuple[int, int]]:
     return chosen
 
 
-def candidates(tiled: DataFrame, percent: int, whole: bool) -> DataFrame:
-    """Distinct pairs a < b of sids from tiles that have comp and bitmap too: a spanning forest of each tile, or, if
-    whole, all pairs that pass the bound and lie across components."""
+def _picked(rows: DataFrame, key: str, ids: DataFrame) -> DataFrame:
+    """The rows whose key is among ids (one column of that name): a small table of ids spares shuffling wide rows."""
+    ids = materialize(ids.distinct(), "ids")
+    return rows.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, key, "left_semi")
+
+
+def candidates(tiled: DataFrame, sets: DataFrame, percent: int, whole: bool) -> DataFrame:
+    """Distinct pairs a < b of sids that pass the bitmaps' bound: of sparse tiles all; of dense ones a spanning forest,
+    or all if whole. sets has sid, n, bitmap, any number of times for a sid."""
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
-    key = ["token", "band", "low", "high"]
-    columns = ["block", "sid", "n", "own", "comp", "bitmap", "low", "high", "token", "band"]
+    found = materialize(met(tiled, percent), "met")
+    ids = found.filter("a is not null").select(F.col("a").alias("sid")).union(found.filter("b is not null").select("b")).union(found.filter("sid is not null").select("sid"))
+    bitmaps = _picked(sets.select("sid", "n", "bitmap"), "sid", ids).dropDuplicates(["sid"])
 
-    def rows(batches):
+    def bounded(batches):
         for batch in batches:
-            yield from zip(*(batch.column(c).to_pylist() for c in columns))
-
-    def run(batches):
+            keep = []
+            for n, m, x, y in zip(*(batch.column(c).to_pylist() for c in ("n", "m", "x", "y"))):
+                width = min(len(x), len(y))
+                differ = int(np.bitwise_count(_fold(x, width) ^ _fold(y, width)).sum())
+                both = _overlap(differ, n, m)
+                keep.append(100 * both >= percent * (n + m - both))
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    def dense(batches):
         seen: set[tuple[int, int]] = set()
-        for _, group in groupby(rows(batches), key=lambda r: (r[8], r[9], r[6], r[7])):
-            members = list(group)
-            if len(members) < 2 or not any(m[3] for m in members) or len({m[4] for m in members}) < 2:
-                continue
-            if whole:
-                pairs = [(i, j) for i, js, _ in _passing(members, percent) for j in js]
-            else:
-                pairs = _forest(members, percent)
-            seen.update((min(members[i][1], members[j][1]), max(members[i][1], members[j][1])) for i, j in pairs)
+        for tile, members in _streamed(batches, [*MEMBER, "bitmap"]):
+            apart = tile[2] != tile[3]
+            pairs = ((i, j) for i, js, _ in _passing(members, apart, percent) for j in js) if whole else _forest(members, apart, percent)
+            seen.update((min(members[i][SID], members[j][SID]), max(members[i][SID], members[j][SID])) for i, j in pairs)
             if len(seen) > 50_000:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*seen)], schema=schema)
                 seen.clear()
         if seen:
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*seen)], schema=schema)
 
-    dealt = tiled.select(columns).repartition(*key).sortWithinPartitions(*key, "sid")
-    return dealt.mapInArrow(run, "a long, b long").distinct()
+    side = lambda k, n, x: bitmaps.select(F.col("sid").alias(k), F.col("n").alias(n), F.col("bitmap").alias(x))
+    pairs = found.filter("b is not null").select("a", "b").distinct().join(side("a", "n", "x"), "a").join(side("b", "m", "y"), "b")
+    sparse = pairs.select("a", "b", "n", "m", "x", "y").mapInArrow(bounded, "a long, b long")
+    rows = found.filter("b is null").drop("a", "b").join(bitmaps.select("sid", "bitmap"), "sid")
+    return sparse.unionByName(_dealt(rows, [*MEMBER, "bitmap"]).mapInArrow(dense, "a long, b long")).distinct()
 
 
 def verified(pairs: DataFrame, docs: DataFrame, reps: DataFrame, words: int, percent: int) -> DataFrame:
     """a, b, linked: pairs with the exact verdict, from the sorted token arrays of both sets."""
     pairs = materialize(pairs, "pairs")
-    asked = pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct().join(reps.select("sid", "rep"), "sid").select(F.col("rep").alias("doc_id"))
-    asked = materialize(asked, "asked")
-    if asked.count() <= BROADCAST_IDS:
-        asked = F.broadcast(asked)
+    asked = pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct().join(reps, "sid").select(F.col("rep").alias("doc_id"))
     schema = pa.schema([("sid", pa.int64()), ("tokens", pa.binary())])
 
     def sets(batches):
@@ -231,7 +381,7 @@ def verified(pairs: DataFrame, docs: DataFrame, reps: DataFrame, words: int, per
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows[i : i + 512]), schema)], schema=schema)
 
     # A doc_id may have several texts; each is a set, and only asked sets find a pair.
-    known = _docs(docs).join(asked, "doc_id", "left_semi").mapInArrow(sets, "sid long, tokens binary").dropDuplicates(["sid"])
+    known = _picked(_docs(docs), "doc_id", asked).mapInArrow(sets, "sid long, tokens binary").dropDuplicates(["sid"])
     joined = pairs.join(known.select(F.col("sid").alias("a"), F.col("tokens").alias("x")), "a").join(known.select(F.col("sid").alias("b"), F.col("tokens").alias("y")), "b")
     out = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("linked", pa.bool_())])
 
@@ -251,24 +401,22 @@ def similar(docs: DataFrame, words: int, percent: int) -> DataFrame:
     """doc_id, n_shingles, component_id for each row of docs: sets link when 100 |x and y| >= percent |x or y|."""
     spark = docs.sparkSession
     found, counts = measured(docs, words)
-    top = counts.orderBy(F.desc("count"), "token").limit(FREQUENT).collect()
-    known = np.array(sorted(r[0] & (1 << 64) - 1 for r in top), np.uint64)
-    rank_of = {r[0] & (1 << 64) - 1: len(top) - i for i, r in enumerate(top)}
-    frequent = known, np.array([rank_of[int(t)] for t in known], np.int64)
+    frequent = most_frequent(counts)
 
     keyed = found.filter("n > 0")
-    reps = materialize(keyed.groupBy("sid").agg(F.min("doc_id").alias("rep"), F.min("bitmap").alias("bitmap")), "sets")
-    tiled = materialize(tiles(prefixes(docs, words, percent, frequent), percent), "tiles")
+    reps = materialize(keyed.groupBy("sid").agg(F.min("doc_id").alias("rep")), "sets")
+    shared = materialize(shared_tokens(prefixes(docs, words, percent, frequent)), "shared")
     nodes = lambda p: p.join(reps.select(F.col("sid").alias("a"), F.col("rep").alias("ra")), "a").join(reps.select(F.col("sid").alias("b"), F.col("rep").alias("rb")), "b")
 
     # Components are of sids; their ids are turned into the smallest doc_id at the end.
-    first = verified(candidates(tiled.join(reps.select("sid", "bitmap", F.col("sid").alias("comp")), "sid"), percent, False), docs, reps, words, percent)
+    start = chosen_tokens(shared).withColumn("comp", F.col("sid"))
+    first = verified(candidates(tiles(start, percent), keyed, percent, False), docs, reps, words, percent)
     links = first.filter("linked").select("a", "b")
     joined = components(links).withColumnRenamed("node", "sid")
-    spread = tiled.join(joined, "sid", "left").withColumn("comp", F.coalesce("component", "sid")).drop("component")
-    split = spread.groupBy("token", "band", "low", "high").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x < y").drop("x", "y")
-    left = spread.join(split, ["token", "band", "low", "high"], "left_semi").join(reps.select("sid", "bitmap"), "sid")
-    more = candidates(left, percent, True).join(first.select("a", "b"), ["a", "b"], "left_anti")
+    spread = shared.join(joined, "sid", "left").withColumn("comp", F.coalesce("component", "sid")).drop("component")
+    split = spread.groupBy("token").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x < y").select("token")
+    left = materialize(spread.join(split, "token", "left_semi"), "left")
+    more = candidates(tiles(left, percent), keyed, percent, True).join(first.select("a", "b"), ["a", "b"], "left_anti")
     links = links.unionByName(verified(more, docs, reps, words, percent).filter("linked").select("a", "b"))
 
     by_rep = components(nodes(links).select(F.col("ra").alias("a"), F.col("rb").alias("b")))

@@ -7,9 +7,10 @@ from collections.abc import Iterator
 import numpy as np
 
 #: Texts are hashed together up to so many bytes (a longer text alone), which bounds the working arrays.
-CHUNK = 4 << 20
+CHUNK = 1 << 20
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15 | 1, -1, 1 << 64))
+_STEP = np.uint64(0xD6E8FEB86659FD93)
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -34,8 +35,8 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def _word_hashes(texts: list[bytes], fold: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all words of texts in order, and the number of words before each text (one entry more than texts)."""
+def _word_hashes(texts: list[bytes], fold: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes and lengths of all words of texts, and the number of words before each text (one entry more than texts)."""
     data = np.frombuffer(b" ".join(texts) + b" ", np.uint8)
     space = _SPACE[data]
     if fold:
@@ -47,7 +48,7 @@ def _word_hashes(texts: list[bytes], fold: bool) -> tuple[np.ndarray, np.ndarray
     np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[: len(data)], out=prefix[1:])
     hashes = mix((prefix[end] - prefix[start]) * down[start] + (end - start).astype(np.uint64))
     begin = np.cumsum([0, *(len(t) + 1 for t in texts)])
-    return hashes, np.searchsorted(start, begin)
+    return hashes, (end - start).astype(np.uint64), np.searchsorted(start, begin)
 
 
 def _chunks(texts: list[bytes]) -> Iterator[list[bytes]]:
@@ -62,16 +63,23 @@ def _chunks(texts: list[bytes]) -> Iterator[list[bytes]]:
         yield chunk
 
 
+def _ordered(hashes: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """hashes with the shingle's length in the upper six bits, longest first: a fixed order of tokens in which the long
+    ones, which chance repeats least, come before the short ones."""
+    return (hashes >> np.uint64(6)) | ((np.uint64(63) - np.minimum(lengths, np.uint64(63))) << np.uint64(58))
+
+
 def shingle_sets(texts: list[bytes], words: int, fold: bool = True) -> Iterator[np.ndarray]:
-    """For each text the sorted distinct hashes of its shingles of so many words; of all its words, if they are fewer."""
+    """For each text the sorted distinct tokens of its shingles of so many words; of all its words, if they are fewer."""
     for chunk in _chunks(texts):
         with np.errstate(over="ignore"):
-            hashes, first = _word_hashes(chunk, fold)
+            hashes, lengths, first = _word_hashes(chunk, fold)
             n = max(0, len(hashes) - words + 1)
-            windows = np.zeros(n, np.uint64)
+            windows, size = np.zeros(n, np.uint64), np.zeros(n, np.uint64)
             for i in range(words):
-                windows = windows * np.uint64(0xD6E8FEB86659FD93) + hashes[i : i + n]
-            windows = mix(windows)
+                windows = windows * _STEP + hashes[i : i + n]
+                size += lengths[i : i + n]
+            windows = _ordered(mix(windows), size)
             for a, b in zip(first[:-1], first[1:]):
                 if b - a >= words:
                     one = np.sort(windows[a : b - words + 1])
@@ -79,7 +87,7 @@ def shingle_sets(texts: list[bytes], words: int, fold: bool = True) -> Iterator[
                 elif b > a:
                     few = np.uint64(b - a)
                     for h in hashes[a:b]:
-                        few = few * np.uint64(0xD6E8FEB86659FD93) + h
-                    yield mix(np.array([few], np.uint64))
+                        few = few * _STEP + h
+                    yield _ordered(mix(np.array([few], np.uint64)), lengths[a:b].sum(keepdims=True))
                 else:
                     yield np.zeros(0, np.uint64)
