@@ -87,8 +87,11 @@ def host_verdicts(rules: DataFrame) -> DataFrame:
 def judge(docs: DataFrame) -> DataFrame:
     """The decision and its grounds for each document."""
     rules = ruled(materialize(measured(docs), "quality"))
+    # Written out, the hosts' size is known before the join: few hosts are broadcast and no document is shuffled, and
+    # the documents of a hot host stay where they are; many are joined by a shuffle, which AQE splits where it skews.
+    hosts = materialize(host_verdicts(rules), "hosts")
     return (
-        rules.join(host_verdicts(rules), "host")
+        rules.join(hosts, "host")
         .withColumn("kept", ~F.col("base_failed") & ~(F.col("host_bad") & F.col("soft_failed")))
         .select("doc_id", *MEASURES[:5], "base_failed", "kept", "soft_failed", "host_rate", "host_bad")
     )
