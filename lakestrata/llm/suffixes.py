@@ -35,6 +35,8 @@ from .shingles import mix
 LENGTH = 100
 GRAM = 32
 SLOT_BYTES = 8 << 20
+#: Buckets for each slot: a bucket's suffixes are sorted in memory, by arrays of many times its text.
+BUCKETS_PER_SLOT = 8
 #: Anchors that so many slots hold are dealt window by window.
 HOT_SLOTS = 4096
 CHUNK = 1 << 20
@@ -275,7 +277,7 @@ def deduplicated(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, slot_b
     rows = docs.select(F.coalesce("doc_id", F.lit(NO_ID).cast("long")).alias("doc_id"), F.col("text").cast("binary").alias("text"))
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     slots = max(1, -(-size // slot_bytes))
-    parts = max(1, -(-slots // 2))
+    parts, buckets = max(1, -(-slots // 2)), slots * BUCKETS_PER_SLOT
     dealt = rows.withColumn("slot", F.pmod(F.xxhash64("doc_id"), F.lit(slots)).cast("int")).repartition(parts, "slot")
 
     held_schema = pa.schema([("bucket", pa.int32()), ("slot", pa.int32()), ("hashes", pa.binary())])
@@ -286,10 +288,10 @@ def deduplicated(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, slot_b
             return _table([], held_schema)
         slot = table.column("slot")[0].as_py()
         hashes = np.unique(np.concatenate(found))
-        bucket = hashes % np.uint64(slots)
+        bucket = hashes % np.uint64(buckets)
         order = np.argsort(bucket, kind="stable")
         hashes, bucket = hashes[order], bucket[order]
-        edge = np.flatnonzero(np.diff(bucket, prepend=np.uint64(slots), append=np.uint64(slots)))
+        edge = np.flatnonzero(np.diff(bucket, prepend=np.uint64(buckets), append=np.uint64(buckets)))
         return _table([(int(bucket[a]), slot, hashes[a:b].tobytes()) for a, b in zip(edge, edge[1:])], held_schema)
 
     back_schema = pa.schema([("slot", pa.int32()), ("repeated", pa.binary()), ("hot", pa.binary())])
@@ -338,14 +340,14 @@ def deduplicated(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, slot_b
                         last = spans[-1]
                         spans[-1] = (*last[:5], max(last[5], a + m - last[4]), None)
                     else:
-                        spans.append((int(hashes[i] % np.uint64(slots)), 0, doc_id, j, a, m, None))
+                        spans.append((int(hashes[i] % np.uint64(buckets)), 0, doc_id, j, a, m, None))
                     continue
                 first[k, part] = True
                 variants[k] = variants.get(k, 0) + 1
                 anchor = int(hashes[i].view(np.int64))
                 if common[k]:
                     anchor = int.from_bytes(hashlib.blake2b(part, digest_size=8).digest(), "little", signed=True)
-                sent.append((k, (anchor & (1 << 64) - 1) % slots, anchor, doc_id, j, a, m, part))
+                sent.append((k, (anchor & (1 << 64) - 1) % buckets, anchor, doc_id, j, a, m, part))
         out = [row[1:] for row in sent if outside[row[0]] or variants[row[0]] > 1]
         return _table(out + spans, segment_schema)
 
