@@ -34,9 +34,9 @@ from .shingles import mix
 
 LENGTH = 100
 GRAM = 32
-SLOT_BYTES = 8 << 20
+SLOT_BYTES = 4 << 20
 #: Buckets for each slot: a bucket's suffixes are sorted in memory, by arrays of many times its text.
-BUCKETS_PER_SLOT = 8
+BUCKETS_PER_SLOT = 4
 #: Anchors that so many slots hold are dealt window by window.
 HOT_SLOTS = 4096
 CHUNK = 1 << 20
@@ -277,7 +277,7 @@ def deduplicated(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, slot_b
     rows = docs.select(F.coalesce("doc_id", F.lit(NO_ID).cast("long")).alias("doc_id"), F.col("text").cast("binary").alias("text"))
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     slots = max(1, -(-size // slot_bytes))
-    parts, buckets = max(1, -(-slots // 2)), slots * BUCKETS_PER_SLOT
+    parts, buckets = max(1, -(-slots // 4)), slots * BUCKETS_PER_SLOT
     dealt = rows.withColumn("slot", F.pmod(F.xxhash64("doc_id"), F.lit(slots)).cast("int")).repartition(parts, "slot")
 
     held_schema = pa.schema([("bucket", pa.int32()), ("slot", pa.int32()), ("hashes", pa.binary())])
