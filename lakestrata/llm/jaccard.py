@@ -36,7 +36,9 @@ from .common import materialize
 from .graph import components
 from .shingles import shingle_sets
 
-#: Tokens in at least LOCAL_OFTEN sets of an Arrow batch are counted over the corpus; at most FREQUENT of them, the most
+#: Documents whose sets are held at a time.
+SLICE = 5000
+#: Tokens in at least LOCAL_OFTEN sets of a slice are counted over the corpus; at most FREQUENT of them, the most
 #: frequent, are ordered by their counts, after all other tokens. The order affects speed alone; its table is bounded.
 LOCAL_OFTEN = 3
 FREQUENT = 1 << 18
@@ -77,7 +79,7 @@ def measured(docs: DataFrame, words: int) -> tuple[DataFrame, DataFrame]:
     schema = pa.schema([("doc_id", pa.int64()), ("sid", pa.int64()), ("n", pa.int64()), ("bitmap", pa.binary()), ("token", pa.int64())])
 
     def run(batches):
-        for batch in batches:
+        for batch in (b.slice(i, SLICE) for b in batches for i in range(0, b.num_rows, SLICE)):
             rows, every = [], []
             for doc_id, tokens in zip(batch.column("doc_id").to_pylist(), _sets(batch, words)):
                 rows.append((doc_id, _sid(tokens) if len(tokens) else None, len(tokens), _bitmap(tokens) if len(tokens) else None, None))
@@ -127,7 +129,7 @@ def prefixes(docs: DataFrame, words: int, percent: int, frequent: np.ndarray) ->
 
     def run(batches):
         known, rank = order.value
-        for batch in batches:
+        for batch in (b.slice(i, SLICE) for b in batches for i in range(0, b.num_rows, SLICE)):
             out = []
             for tokens in _sets(batch, words):
                 if not len(tokens):
