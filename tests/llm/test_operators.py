@@ -277,6 +277,25 @@ def test_simhash_edges(spark):
     assert simhash.simhash(frame(spark, [(1, long), (2, long)])).filter("near_next = 1").count() == 2
 
 
+def test_simhash_finds_near_copies(spark):
+    """Near copies of Jaccard 0.8 are within the radius, and the result names them; unrelated texts are not."""
+    rng = random.Random(28)
+    rows = []
+    for i in range(60):
+        words = [f"w{rng.randrange(10**6)}" for _ in range(304)]
+        # Each of 7 changed words, far apart, replaces 5 of 300 shingles.
+        other = [f"z{rng.randrange(10**6)}" if n % 44 == 20 else w for n, w in enumerate(words)]
+        a, b = ({" ".join(t[n : n + 5]) for n in range(300)} for t in (words, other))
+        assert 0.78 < len(a & b) / len(a | b) < 0.82
+        rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join(other))]
+    rows += [(1000, rows[0][1]), (None, rows[2][1])]
+    out = by_id(simhash.simhash(frame(spark, rows), every=2), "near_ids", "first_id", "n_near")
+    assert out[1000][1] == out[0][1] == 0 and out[1000][0] == out[0][0] and out[None][1] == 2 and out[None][0] is None
+    assert sum(out[2 * i][0] == [2 * i + 1] for i in range(60)) >= 57
+    assert all(set(out[2 * i][0]) <= {2 * i + 1} for i in range(60))
+    assert out[1][0] is None and out[0][2] == 1 + len(out[0][0])
+
+
 # 7
 
 
