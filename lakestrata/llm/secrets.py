@@ -6,20 +6,25 @@ nothing new appears. A digest of each layer and place stops cycles. Every layer
 code points of the original text that it came from, so a finding in any layer maps back to a span of the text; the
 characters of a base64 or compressed layer all map to the whole encoded run.
 
+Layers of bytes are read as Latin-1: patterns are ASCII, so no byte that isn't text hides what lies beside it. Compressed
+data is opened wherever its magic number stands in such a layer (zlib's weak one at its head only), to any depth, and
+broken data as far as it goes. Of decompressed data MAX_LAYER bytes are held at once; more is scanned in pieces that
+share OVERLAP bytes, so only what is longer than that can be cut; compressed data of over MAX_LAYER bytes inside a
+larger layer, not at its head, is opened as far as its piece goes.
+
 Edge cases: null text is empty; each row is scanned by itself; an empty table gives no rows; other columns are ignored.
-A layer of over MAX_LAYER bytes after decompression is left unread, to bound memory against decompression bombs.
 """
 
 from __future__ import annotations
 
 import base64
-import binascii
 import bz2
 import hashlib
+import itertools
 import lzma
 import re
 import zlib
-from collections import deque
+from collections.abc import Iterable, Iterator
 from urllib.parse import unquote_to_bytes
 
 import pyarrow as pa
@@ -32,6 +37,7 @@ from .common import per_row
 KINDS = ("assign", "access", "hex")
 ORDER = {k: i for i, k in enumerate([*KINDS, *(f"decoded_{k}" for k in KINDS)])}
 MAX_LAYER = 16 << 20
+OVERLAP = PIECE = 1 << 20
 MASK = "[SECRET]"
 
 _ASSIGN = re.compile(r"""(?ai:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
@@ -41,6 +47,8 @@ _HEX = re.compile(r"[0-9a-f]{24,}")
 _URL = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 _ESCAPE = re.compile(r"(?:\\u[0-9A-Fa-f]{4}|\\x[0-9A-Fa-f]{2}|\\U[0-9A-Fa-f]{8})+")
 _ESCAPE_1 = re.compile(r"\\(?:u([0-9A-Fa-f]{4})|x([0-9A-Fa-f]{2})|U([0-9A-Fa-f]{8}))")
+_MAGIC = re.compile(rb"\x1f\x8b\x08|BZh[1-9]|\xfd7zXZ\x00|\x28\xb5\x2f\xfd|\A\x78[\x01\x5e\x9c\xda]")
+_PLAIN = str.maketrans("-_", "+/")
 _BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
 
 
@@ -56,96 +64,122 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
     return sorted(found, key=lambda s: (s[0], ORDER[s[2]]))
 
 
-def _unpack(data: bytes) -> bytes | None:
-    """What compressed data holds, by its magic number; None if it is not whole, or too large."""
-    try:
-        if data[:2] == b"\x1f\x8b":
-            unzip = zlib.decompressobj(31)
-        elif data[:1] == b"\x78" and len(data) > 2 and not (data[0] * 256 + data[1]) % 31:
-            unzip = zlib.decompressobj()
-        elif data[:3] == b"BZh":
-            unzip = bz2.BZ2Decompressor()
-        elif data[:6] == b"\xfd7zXZ\x00":
-            unzip = lzma.LZMADecompressor(memlimit=64 << 20)
-        elif data[:4] == b"\x28\xb5\x2f\xfd":
-            unzip = zstandard.ZstdDecompressor(max_window_size=64 << 20).decompressobj(write_size=1 << 20)
-            out = unzip.decompress(data) if zstandard.frame_content_size(data) <= MAX_LAYER else None
-            return out if out is not None and len(out) <= MAX_LAYER and unzip.eof else None
-        else:
-            return None
-        out = unzip.decompress(data, MAX_LAYER + 1)
-        return out if len(out) <= MAX_LAYER and unzip.eof else None
-    except (zlib.error, OSError, EOFError, lzma.LZMAError, zstandard.ZstdError, ValueError):
-        return None
+class _File:
+    """Chunks as what zstandard reads from."""
 
+    def __init__(self, chunks: Iterable[bytes]):
+        self.chunks = iter(chunks)
 
-def _as_text(data: bytes) -> str | None:
-    """data as text, through any compression; None if it is not mostly printable UTF-8."""
-    for _ in range(8):
-        inner = _unpack(data)
-        if inner is None:
-            break
-        data = inner
-    try:
-        text = data.decode("utf-8")
-    except UnicodeDecodeError:
-        return None
-    odd = sum(not (c.isprintable() or c in "\t\r\n") for c in text[:4096])
-    return text if text and odd * 20 <= min(len(text), 4096) else None
+    def read(self, size: int = -1) -> bytes:
+        return next(self.chunks, b"")
 
 
-def _replaced(text: str, places: list[tuple[int, int]], pattern: re.Pattern, decode) -> tuple[str, list[tuple[int, int]]] | None:
+def _unpacked(chunks: Iterable[bytes]) -> Iterator[bytes]:
+    """What compressed data holds, by its magic number, in pieces; as far as it is whole."""
+    chunks = iter(chunks)
+    head = next(chunks, b"")
+    chunks = itertools.chain([head], chunks)
+    try:
+        if head[:4] == b"\x28\xb5\x2f\xfd":
+            with zstandard.ZstdDecompressor(max_window_size=128 << 20).stream_reader(_File(chunks)) as reader:
+                while piece := reader.read(PIECE):
+                    yield piece
+        elif head[:3] == b"BZh" or head[:2] == b"\xfd7":
+            unzip = bz2.BZ2Decompressor() if head[:1] == b"B" else lzma.LZMADecompressor(memlimit=256 << 20)
+            for chunk in chunks:
+                yield unzip.decompress(chunk, PIECE)
+                while not unzip.eof and not unzip.needs_input:
+                    yield unzip.decompress(b"", PIECE)
+                if unzip.eof:
+                    return
+        else:
+            unzip = zlib.decompressobj(31 if head[:1] == b"\x1f" else 15)
+            for chunk in chunks:
+                while chunk and not unzip.eof:
+                    # Small steps: what comes before an error is kept.
+                    step, chunk = chunk[:4096], chunk[4096:] if len(chunk) > 4096 else b""
+                    while step and not unzip.eof:
+                        yield unzip.decompress(step, PIECE)
+                        step = unzip.unconsumed_tail
+                if unzip.eof:
+                    return
+            yield unzip.flush()
+    except (zlib.error, OSError, EOFError, lzma.LZMAError, zstandard.ZstdError, ValueError):
+        return
+
+
+def _pieces(chunks: Iterable[bytes]) -> Iterator[str]:
+    """What compressed data holds, whole or in overlapping pieces."""
+    held, pieces, whole = bytearray(), _unpacked(chunks), True
+    for piece in pieces:
+        held += piece
+        if len(held) > MAX_LAYER:
+            if whole and _MAGIC.match(held):
+                yield from _pieces(itertools.chain([bytes(held)], pieces))
+                return
+            whole = False
+            yield held.decode("latin-1")
+            del held[:-OVERLAP]
+    if held:
+        yield held.decode("latin-1")
+
+
+def _span(places: list[tuple[int, int]] | tuple[int, int] | None, start: int, end: int) -> tuple[int, int]:
+    """The span of the original text that a layer's characters come from. Places are None for the original itself, a span
+    for each character, or one span for all."""
+    if places is None:
+        return start, end
+    if isinstance(places, tuple):
+        return places
+    return min(p[0] for p in places[start:end]), max(p[1] for p in places[start:end])
+
+
+def _replaced(text: str, places, pattern: re.Pattern, decode) -> tuple[str, list[tuple[int, int]] | tuple[int, int]]:
     """text with each match of pattern decoded; the new characters come from the whole match."""
-    parts, origin, last, changed = [], [], 0, False
+    if isinstance(places, tuple):
+        return pattern.sub(lambda m: decode(m[0]), text), places
+    places = [(i, i + 1) for i in range(len(text))] if places is None else places
+    parts, origin, last = [], [], 0
     for m in pattern.finditer(text):
         new = decode(m[0])
-        if new is None:
-            continue
-        changed = True
         parts += [text[last : m.start()], new]
         origin += places[last : m.start()]
         origin += [(places[m.start()][0], places[m.end() - 1][1])] * len(new)
         last = m.end()
-    return ("".join([*parts, text[last:]]), origin + places[last:]) if changed else None
+    return "".join([*parts, text[last:]]), origin + places[last:]
 
 
-def _unquote(run: str) -> str | None:
-    try:
-        return unquote_to_bytes(run).decode("utf-8")
-    except UnicodeDecodeError:
-        return None
+def _unquote(run: str) -> str:
+    return unquote_to_bytes(run).decode("latin-1")
 
 
-def _unescape(run: str) -> str | None:
-    try:
-        text = _ESCAPE_1.sub(lambda m: chr(int(m[1] or m[2] or m[3], 16)), run)
-        return text.encode("utf-16", "surrogatepass").decode("utf-16")
-    except (ValueError, UnicodeError, OverflowError):
-        return None
+def _unescape(run: str) -> str:
+    code = lambda m: int(m[1] or m[2] or m[3], 16)
+    return _ESCAPE_1.sub(lambda m: chr(code(m)) if code(m) < 0x110000 else "\ufffd", run)
 
 
 def _unbase64(run: str) -> str | None:
     core = run.rstrip("=")
     if len(core) % 4 == 1:
         return None
-    try:
-        return _as_text(base64.b64decode(core.translate(str.maketrans("-_", "+/")) + "=" * (-len(core) % 4), validate=True))
-    except (binascii.Error, ValueError):
-        return None
-
-
-def _layers(text: str, places: list[tuple[int, int]] | None):
-    """The layers one step below: the whole layer with its escapes undone, and each base64 run that holds text."""
-    here = lambda: places if places is not None else [(i, i + 1) for i in range(len(text))]
-    if "%" in text and _URL.search(text) and (new := _replaced(text, here(), _URL, _unquote)):
-        yield new
-    if "\\" in text and _ESCAPE.search(text) and (new := _replaced(text, here(), _ESCAPE, _unescape)):
-        yield new
+    return base64.b64decode(core.translate(_PLAIN) + "=" * (-len(core) % 4)).decode("latin-1")
+
+
+def _layers(text: str, places) -> Iterator[tuple[str, list[tuple[int, int]] | tuple[int, int]]]:
+    """The layers one step below: the whole layer with its escapes undone, what base64 runs hold, and, in a layer of
+    bytes, what compressed data holds."""
+    if "%" in text and _URL.search(text):
+        yield _replaced(text, places, _URL, _unquote)
+    if "\\" in text and _ESCAPE.search(text):
+        yield _replaced(text, places, _ESCAPE, _unescape)
+    if isinstance(places, tuple):
+        data = text.encode("latin-1", "replace")
+        for m in _MAGIC.finditer(data):
+            for piece in _pieces([data[m.start() :]]):
+                yield piece, places
     for m in _BASE64.finditer(text):
-        if (new := _unbase64(m[0])) is None:
-            continue
-        first, last = (places[m.start()], places[m.end() - 1]) if places is not None else ((m.start(), 0), (0, m.end()))
-        yield new, [(first[0], last[1])] * len(new)
+        if new := _unbase64(m[0]):
+            yield new, _span(places, m.start(), m.end())
 
 
 def scan(text: str | None) -> list[tuple[int, int, str]]:
@@ -153,18 +187,24 @@ def scan(text: str | None) -> list[tuple[int, int, str]]:
     text = text or ""
     base = base_spans(text)
     found, seen = set(), set()
-    work = deque(_layers(text, None))
+    # Depth first, and layers are made when their turn comes, so few are held.
+    work = [_layers(text, None)]
     while work:
-        layer, places = work.popleft()
-        key = hashlib.blake2b(f"{places[0] if places else ''}{places[-1] if places else ''}{layer}".encode("utf-8", "replace"), digest_size=16).digest()
-        if key in seen or not layer:
+        if (below := next(work[-1], None)) is None:
+            work.pop()
+            continue
+        layer, places = below
+        if not layer:
+            continue
+        key = hashlib.blake2b(f"{_span(places, 0, len(layer))}{layer}".encode("utf-8", "replace"), digest_size=16).digest()
+        if key in seen:
             continue
         seen.add(key)
         for start, end, kind in base_spans(layer):
-            at, to = min(p[0] for p in places[start:end]), max(p[1] for p in places[start:end])
+            at, to = _span(places, start, end)
             if not any(k == kind and s <= at and to <= e for s, e, k in base):
                 found.add((at, to, f"decoded_{kind}"))
-        work.extend(_layers(layer, places))
+        work.append(_layers(layer, places))
     return sorted([*base, *found], key=lambda s: (s[0], ORDER[s[2]], s[1]))
 
 

@@ -226,6 +226,23 @@ def test_secret_layers():
     assert secrets.scan("%41" * 10 + " 100% plain text QUJDREVGR0hJSktMTU5PUA==") == []
 
 
+def test_secrets_in_whole_layers():
+    """Binary heads, deep nests, large and broken layers, and bytes that aren't UTF-8 hide nothing."""
+    plain = b"password=hunter22"
+    deep = plain
+    for _ in range(12):
+        deep = gzip.compress(deep, mtime=0)
+    large = gzip.compress(b"a b " * (5 << 20) + plain + b" c d" * 1000)
+    head = bytes(range(32)) * 200 + plain
+    tail = gzip.compress(random.Random(1).randbytes(6000) + plain + b" " * 3000 + random.Random(2).randbytes(6000))
+    layers = [head, deep, large, gzip.compress(large), zlib.compress(plain), plain + b"\xff", b"tar" + gzip.compress(plain), gzip.compress(b"x") + gzip.compress(plain), tail[:-2000]]
+    for n, data in enumerate(layers):
+        wrapped = base64.b64encode(data).decode()
+        assert (7, 7 + len(wrapped), "decoded_assign") in secrets.scan(f"before {wrapped} after"), n
+    for run in ("%FF" + "".join(f"%{b:02X}" for b in plain), "\\ud800" + "".join(f"\\x{b:02x}" for b in plain), "\\UFFFFFFFF" + "".join(f"\\x{b:02x}" for b in plain)):
+        assert [k for *_, k in secrets.scan(f"before {run} after")] == ["decoded_assign"], run
+
+
 def test_redaction(spark):
     df = frame(spark, [(1, "token=abcdefgh and more"), (2, None), (3, "clean")])
     out = by_id(secrets.redacted(df), "text", "n_chars", "size")
