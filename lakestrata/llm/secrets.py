@@ -4,7 +4,9 @@ A worklist starts with the text itself. Each layer is scanned; each encoded regi
 escapes, base64 or base64url runs, which may hold gzip, zlib, bz2, xz or zstandard data) yields a further layer, until
 nothing new appears. A digest of each layer and place stops cycles. Every layer keeps, for each of its characters, the
 code points of the original text that it came from, so a finding in any layer maps back to a span of the text; the
-characters of a base64 or compressed layer all map to the whole encoded run.
+characters of a base64 or compressed layer all map to the whole encoded run. A base64 run goes on over line breaks, and
+is decoded at all four phases; of a run over several lines, a finding spans the lines' parts that it comes from, and one
+in compressed data all from the line where that begins.
 
 Layers of bytes are read as Latin-1: patterns are ASCII, so no byte that isn't text hides what lies beside it. Compressed
 data is opened wherever its magic number stands in such a layer (zlib's weak one at its head only), to any depth, and
@@ -49,7 +51,10 @@ _ESCAPE = re.compile(r"(?:\\u[0-9A-Fa-f]{4}|\\x[0-9A-Fa-f]{2}|\\U[0-9A-Fa-f]{8})
 _ESCAPE_1 = re.compile(r"\\(?:u([0-9A-Fa-f]{4})|x([0-9A-Fa-f]{2})|U([0-9A-Fa-f]{8}))")
 _MAGIC = re.compile(rb"\x1f\x8b\x08|BZh[1-9]|\xfd7zXZ\x00|\x28\xb5\x2f\xfd|\A\x78[\x01\x5e\x9c\xda]")
 _PLAIN = str.maketrans("-_", "+/")
-_BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
+_WORD = re.compile(r"[A-Za-z0-9+/_-]+")
+# A run of 16 characters, or one that goes on over line breaks.
+_BASE64 = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]++(?:(?:[ \t]*+(?:\r\n|\n|\r)[ \t]*+[A-Za-z0-9+/_-]++)++|(?<=[A-Za-z0-9+/_-]{16}))={0,2}")
+_ZLIB = re.compile("eA[E-H]|eF[4-7]|eJ[w-z]|eN[o-r]")
 
 
 def base_spans(text: str) -> list[tuple[int, int, str]]:
@@ -158,11 +163,34 @@ def _unescape(run: str) -> str:
     return _ESCAPE_1.sub(lambda m: chr(code(m)) if code(m) < 0x110000 else "\ufffd", run)
 
 
-def _unbase64(run: str) -> str | None:
-    core = run.rstrip("=")
-    if len(core) % 4 == 1:
-        return None
-    return base64.b64decode(core.translate(_PLAIN) + "=" * (-len(core) % 4)).decode("latin-1")
+def _unbase64(core: str) -> bytes:
+    core = core[: len(core) - (len(core) % 4 == 1)]
+    return base64.b64decode(core + "=" * (-len(core) % 4))
+
+
+def _base64_layers(text: str, places, run: re.Match) -> Iterator[tuple[str, list[tuple[int, int]] | tuple[int, int]]]:
+    """What a run holds at each of its four phases, as words before it, or a line's last one, may shift it. A layer's
+    characters map to the run's parts in the lines that they come from."""
+    parts = [(m.start() + run.start(), m.end() + run.start()) for m in _WORD.finditer(run[0])]
+    core = "".join(text[a:b] for a, b in parts).translate(_PLAIN)
+    if len(core) < 16:
+        return
+    one = _span(places, run.start(), run.end()) if len(parts) == 1 or isinstance(places, tuple) else None
+    if not one:
+        spans = [_span(places, a, b) for a, b in [*parts[:-1], (parts[-1][0], run.end())]]
+        line = [span for span, (a, b) in zip(spans, parts) for _ in range(b - a)]
+    for phase in range(4):
+        data = _unbase64(core[phase:])
+        at = one or [(line[c][0], line[c + 1][1]) for i in range(len(data)) for c in (phase + i // 3 * 4 + i % 3,)]
+        yield data.decode("latin-1"), at
+        if not one:
+            for m in _MAGIC.finditer(data):
+                for piece in _pieces([data[m.start() :]]):
+                    yield piece, _span(at, m.start(), len(data))
+    # zlib's magic number is weak: it is looked for where the encoded data may begin.
+    for m in _ZLIB.finditer(core):
+        for piece in _pieces([_unbase64(core[m.start() :])]):
+            yield piece, one or (line[m.start()][0], line[-1][1])
 
 
 def _layers(text: str, places) -> Iterator[tuple[str, list[tuple[int, int]] | tuple[int, int]]]:
@@ -178,8 +206,7 @@ def _layers(text: str, places) -> Iterator[tuple[str, list[tuple[int, int]] | tu
             for piece in _pieces([data[m.start() :]]):
                 yield piece, places
     for m in _BASE64.finditer(text):
-        if new := _unbase64(m[0]):
-            yield new, _span(places, m.start(), m.end())
+        yield from _base64_layers(text, places, m)
 
 
 def scan(text: str | None) -> list[tuple[int, int, str]]:

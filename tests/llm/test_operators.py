@@ -4,6 +4,7 @@ import base64
 import gzip
 import hashlib
 import random
+import re
 import zlib
 
 import numpy as np
@@ -243,6 +244,22 @@ def test_secrets_in_whole_layers():
         assert [k for *_, k in secrets.scan(f"before {run} after")] == ["decoded_assign"], run
 
 
+def test_secrets_in_base64_anywhere():
+    """Base64 after paths and words, at any phase and over line breaks."""
+    plain = b"some text, password=hunter22 and more words so that the text goes on over several lines of base64"
+    code = lambda data, n=0: "\n".join(re.findall(f".{{1,{n}}}", base64.b64encode(data).decode())) if n else base64.b64encode(data).decode()
+    noise = random.Random(3).randbytes(300)
+    for data in (b"password=hunter22", plain, gzip.compress(plain + noise), zlib.compress(plain + noise), zlib.compress(noise + plain, 1)):
+        for head in ("", "x/y/", "a/", "ab_", "abc-", "word"):
+            assert "decoded_assign" in {k for *_, k in secrets.scan(f"before {head}{code(data)} after")}, head
+        for n in (8, 13, 64, 76):
+            for text in (f"before\n{code(data, n)}\nafter", f"key: {code(data, n)}", f"a last word\r\n  {code(data, n)}".replace("\n", "\r\n  ")):
+                assert "decoded_assign" in {k for *_, k in secrets.scan(text)}, (n, text)
+                assert not any(k == "decoded_assign" for *_, k in secrets.scan(secrets.redact(text)))
+    lines = code(b". " * 24 + b"password=hunter22 " + b", " * 45, 64)
+    assert secrets.scan(f"one\n{lines}\ntwo") == [(69, 133, "decoded_assign")]
+
+
 def test_redaction(spark):
     df = frame(spark, [(1, "token=abcdefgh and more"), (2, None), (3, "clean")])
     out = by_id(secrets.redacted(df), "text", "n_chars", "size")
