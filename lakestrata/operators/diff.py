@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.identity import meta_hash
+from ..functions.paths import directory
 from ..schema import META
+from ..shared import materialize
 
 
 def diff(before: DataFrame, after: DataFrame) -> DataFrame:
@@ -19,12 +24,27 @@ def diff(before: DataFrame, after: DataFrame) -> DataFrame:
     return joined.select("path", "change", "before_hash", "after_hash", "before_size", "after_size")
 
 
-def diff_by_directory(before: DataFrame, after: DataFrame, digests: tuple[DataFrame, DataFrame]) -> DataFrame:
-    """diff() that joins only directories whose digests (columns dir, digest) differ; for snapshots mostly alike."""
-    from ..functions.paths import directory
+#: Changed directories that a diff names in its filter, which reaches the snapshots' files; more are joined.
+NAMED = 64
+
 
+def _named(entries: DataFrame, dirs: list[str]) -> DataFrame:
+    """The files directly in any of dirs. The prefixes are a condition of their own, as the reader takes that one."""
+    if "" not in dirs:
+        entries = entries.filter(reduce(or_, (F.col("path").startswith(d + "/") for d in dirs)))
+    return entries.filter(directory(F.col("path")).isin(dirs))
+
+
+def diff_by_directory(before: DataFrame, after: DataFrame, digests: tuple[DataFrame, DataFrame]) -> DataFrame:
+    """diff() over those directories alone whose digests (columns dir, digest) differ; for snapshots mostly alike."""
     a, b = (d.select("dir", "digest") for d in digests)
     changed = a.join(b.withColumnRenamed("digest", "other"), "dir", "full_outer").filter(~F.col("digest").eqNullSafe(F.col("other"))).select(F.col("dir").alias("_dir"))
+    changed = materialize(changed, "changed")
+    few = [r["_dir"] for r in changed.limit(NAMED + 1).collect()]
+    if not few:
+        return diff(before.limit(0), after.limit(0))
+    if len(few) <= NAMED:
+        return diff(_named(before, few), _named(after, few))
     only = lambda e: e.withColumn("_dir", directory(F.col("path"))).join(changed, "_dir", "left_semi")
     return diff(only(before), only(after))
 

@@ -237,11 +237,7 @@ class Repository:
     # Reading
 
     def _committed(self, ref: str | None) -> DataFrame:
-        name = ref or self.branch_name
-        found = self.store.ref(name)
-        if found and found[0] is None:
-            return self.store.empty()
-        return self.store.entries(self.store.commit(self.resolve(name)).tree)
+        return self.store.entries(self._tree(ref))
 
     def entries(self, ref: str | None = None, staged: bool = False, prefix: str = "") -> DataFrame:
         """The entries of a ref, with the branch's staged changes on top if asked; prefix is a textual one."""
@@ -275,8 +271,21 @@ class Repository:
         with self.open_entry(path, ref) as f:
             return f.read()
 
+    def _tree(self, ref: str | None) -> str | None:
+        """The snapshot of a ref; None for a branch without commits."""
+        name = ref or self.branch_name
+        found = self.store.ref(name) if "/" not in name else None
+        return None if found and found[0] is None else self.store.commit(self.resolve(name)).tree
+
     def diff(self, before: str, after: str) -> DataFrame:
-        return diff.diff(self._committed(before), self._committed(after)).orderBy("path")
+        """DIFF rows by path. Where both snapshots have their directories' digests, only directories that differ are
+        read."""
+        trees = self._tree(before), self._tree(after)
+        rows = [self.store.entries(t) for t in trees]
+        digests = [self.store.directories(t) if t else None for t in trees]
+        if None in digests:
+            return diff.diff(*rows).orderBy("path")
+        return diff.diff_by_directory(*rows, tuple(digests)).orderBy("path")
 
     # Staging
 

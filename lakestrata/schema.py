@@ -58,6 +58,14 @@ def invariants() -> dict[str, Column]:
     }
 
 
+def valid() -> Column:
+    """Whether an entry keeps every rule that a row alone can break."""
+    out = F.lit(True)
+    for ok in invariants().values():
+        out = out & F.coalesce(ok, F.lit(False))
+    return out
+
+
 def violations(entries: DataFrame) -> DataFrame:
     """path, rule: a row for each rule that an entry breaks, `unique` among them for a path that occurs twice."""
     broken = F.array(*(F.when(~F.coalesce(ok, F.lit(False)), F.lit(rule)) for rule, ok in invariants().items()))

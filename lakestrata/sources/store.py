@@ -1,6 +1,7 @@
 """A store: snapshots, commits, refs, footers, blobs, stages and logs below one directory URI.
 
     snapshots/<tree>/         entries as parquet, sorted by path; the name is the root digest, so equal trees are shared
+    directories/<tree>/       the digest of each of its directories, with all below it, as parquet
     footers/                  statistics as parquet, appended
     blobs/<2>/<62>            file bytes by digest
     commits/<id>.json         one object each
@@ -19,12 +20,14 @@ import uuid
 from dataclasses import asdict, dataclass
 
 import pyarrow.fs as pafs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from .. import schema
 from ..errors import ObjectMissing, OptimisticLock, StorageUnavailable
+from ..functions.paths import directory
 from ..operators import tree
+from ..shared import materialize
 from .files import META_DIR, open_fs
 from .footers import capture
 
@@ -131,25 +134,39 @@ class Store:
         return "_SUCCESS" in self.names("snapshots", digest)
 
     def put_tree(self, entries: DataFrame) -> str:
-        """Writes a snapshot and returns its root digest. Invalid entries are an error, and nothing is written."""
+        """Writes a snapshot and its directories' digests, and returns the root's. Invalid entries are an error, and
+        nothing is written. Depth and broken rules are counted while the snapshot is written; what is read again is
+        what directory digests need."""
         entries = entries.select(schema.ENTRY_COLUMNS)
         pending = self.url("snapshots", f"pending-{uuid.uuid4().hex}")
-        ordered = entries.repartitionByRange("path").sortWithinPartitions("path")
+        seen = Observation()
+        deepest = F.max(tree.depth(directory(F.col("path")))).alias("depth")
+        ordered = entries.repartitionByRange("path").sortWithinPartitions("path").observe(seen, deepest, F.count_if(~schema.valid()).alias("bad"))
         ordered.write.option("maxRecordsPerFile", ROWS_PER_FILE).parquet(pending)
         written = self.spark.read.schema(schema.ENTRY).parquet(pending)
         name = pending.rpartition("/")[2]
         try:
-            bad = schema.violations(written).limit(5).collect()
-            if bad:
+            counts = seen.get
+            shards = materialize(tree.file_shards(written), "shards")
+            if counts.get("bad") or not shards.filter("repeats > 0").isEmpty():
+                bad = schema.violations(written).limit(5).collect()
                 raise ValueError("invalid entries: " + ", ".join(f"{r['path']} ({r['rule']})" for r in bad))
-            digest = tree.root_digest(written)
+            digests = tree.folded(shards, counts.get("depth") or 0)
+            digest = tree.root_of(digests)
             if not self.has_tree(digest):
                 self.delete("snapshots", digest)
+                digests.write.mode("overwrite").parquet(self.url("directories", digest))
                 self.fs.move(self._path("snapshots", name), self._path("snapshots", digest))
             return digest
         finally:
             self.delete("snapshots", name)
 
+    def directories(self, digest: str) -> DataFrame | None:
+        """dir, digest of a snapshot's directories, each with all below it; None where they weren't stored."""
+        if "_SUCCESS" not in self.names("directories", digest):
+            return None
+        return self.spark.read.schema("dir string, digest string").parquet(self.url("directories", digest))
+
     def entries(self, digest: str | None) -> DataFrame:
         if digest is None:
             return self.empty()
@@ -218,8 +235,6 @@ class Store:
 
     def capture_footers(self, files: DataFrame) -> DataFrame:
         """source_uri, footer of those files that are parquet; statistics that the store lacks are appended."""
-        from ..shared import materialize
-
         found = materialize(capture(files), "footers")
         new = found.drop("source_uri").dropDuplicates(["footer"]).join(self.footers().select("footer"), "footer", "left_anti").select(schema.FOOTER.fieldNames())
         if not new.isEmpty():

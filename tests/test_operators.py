@@ -106,6 +106,20 @@ def test_merkle(spark):
     assert len(tree.root_digest(entries(spark, {"x": "1"}).limit(0))) == 64
 
 
+def test_deep_and_wide_trees_fold_alike(spark, monkeypatch):
+    rows = {"/".join(f"d{j % 3}" for j in range(i % 7)) + f"/f{i}": "x" for i in range(60)}
+    rows = {p.lstrip("/"): t for p, t in rows.items()}
+    few = {r["dir"]: r["digest"] for r in tree.merkle(entries(spark, rows), 6).collect()}
+    monkeypatch.setattr(tree, "FEW", 0)
+    plans = []
+    real = tree.materialize
+    monkeypatch.setattr(tree, "materialize", lambda df, label: plans.append(df._jdf.queryExecution().optimizedPlan().toString().count("Relation")) or real(df, label))
+    by_level = {r["dir"]: r["digest"] for r in tree.merkle(entries(spark, rows), 6).collect()}
+    assert by_level == few and set(few) == {"/".join(p.split("/")[:i]) for p in rows for i in range(len(p.split("/")))}
+    assert max(plans) <= 1 + sum(range(tree.LEVELS + 1)) + tree.LEVELS  # whatever the depth
+    assert tree._folded_rows([("/".join("x" * 500), "f00", "0" * 64)])[""]
+
+
 def groups(spark, rows, **lanes):
     """RG_STATS of one column c: (rows, min, max, nulls) for each group."""
     out = []
