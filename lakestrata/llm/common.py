@@ -3,15 +3,16 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..shared import materialize, shared_dir
 
-__all__ = ["materialize", "new_path", "null_safe_key", "per_row", "shared_dir", "table"]
+__all__ = ["fresh", "materialize", "new_path", "null_safe_key", "per_row", "running", "shared_dir", "table"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,6 +28,31 @@ def null_safe_key(name: str):
     return F.coalesce(F.concat(F.lit("="), F.col(name)), F.lit("null"))
 
 
+def fresh(columns: Iterable[str], *names: str) -> list[str]:
+    """names that none of columns has, in any case: a name that is taken gets underscores."""
+    taken, out = {c.lower() for c in columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def running(rows: DataFrame, order: list[Column], values: dict[str, str]) -> DataFrame:
+    """rows with running sums: for each item, column name -> expression, the sum over the rows before, in a total order.
+    Rows are dealt by range and summed within each; a window over all sees a row for each range only."""
+    part, base = fresh(rows.columns, "_range", "_base")
+    ranged = rows.repartitionByRange(*order).withColumn(part, F.spark_partition_id())
+    ranged = materialize(ranged, "ranged")
+    parts = ranged.groupBy(part).agg(*(F.sum(F.expr(e)).alias(n) for n, e in values.items()))
+    before = Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+    bases = parts.select(part, F.struct(*(F.coalesce(F.sum(n).over(before), F.lit(0)).alias(n) for n in values)).alias(base))
+    inner = Window.partitionBy(part).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    sums = {n: F.coalesce(F.sum(F.expr(e)).over(inner), F.lit(0)) + F.col(f"{base}.{n}") for n, e in values.items()}
+    return ranged.join(F.broadcast(bases), part).withColumns(sums).drop(part, base)
+
+
 def per_row(schema: pa.Schema, row: Callable[..., tuple | None]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """A mapInArrow function that calls row(*values) on each row and gathers the tuples it returns."""
 

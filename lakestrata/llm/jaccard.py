@@ -28,11 +28,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import materialize
+from .common import fresh, materialize
 from .graph import components
 from .shingles import shingle_sets
 
@@ -70,29 +70,31 @@ def _bitmap(tokens: np.ndarray) -> bytes:
     return np.packbits(bits, bitorder="little").tobytes()
 
 
-def _docs(docs: DataFrame) -> DataFrame:
-    return docs.select(F.coalesce("doc_id", F.lit(NO_ID).cast("long")).alias("doc_id"), F.col("text").cast("binary").alias("text"))
+def _docs(docs: DataFrame, row: Column | None = None) -> DataFrame:
+    """doc_id without nulls, text as bytes, and row, a digest that tells rows of one doc_id apart."""
+    row = F.lit(0).cast("long") if row is None else row
+    return docs.select(F.coalesce("doc_id", F.lit(NO_ID).cast("long")).alias("doc_id"), F.col("text").cast("binary").alias("text"), row.alias("row"))
 
 
-def measured(docs: DataFrame, words: int) -> tuple[DataFrame, DataFrame]:
-    """A row for each document: doc_id, sid, n, bitmap; and token, count of tokens that are frequent somewhere."""
-    schema = pa.schema([("doc_id", pa.int64()), ("sid", pa.int64()), ("n", pa.int64()), ("bitmap", pa.binary()), ("token", pa.int64())])
+def measured(docs: DataFrame, words: int, row: Column | None = None) -> tuple[DataFrame, DataFrame]:
+    """A row for each document: doc_id, row, sid, n, bitmap; and token, count of tokens that are frequent somewhere."""
+    schema = pa.schema([("doc_id", pa.int64()), ("row", pa.int64()), ("sid", pa.int64()), ("n", pa.int64()), ("bitmap", pa.binary()), ("token", pa.int64())])
 
     def run(batches):
         for batch in (b.slice(i, SLICE) for b in batches for i in range(0, b.num_rows, SLICE)):
             rows, every = [], []
-            for doc_id, tokens in zip(batch.column("doc_id").to_pylist(), _sets(batch, words)):
-                rows.append((doc_id, _sid(tokens) if len(tokens) else None, len(tokens), _bitmap(tokens) if len(tokens) else None, None))
+            for doc_id, key, tokens in zip(batch.column("doc_id").to_pylist(), batch.column("row").to_pylist(), _sets(batch, words)):
+                rows.append((doc_id, key, _sid(tokens) if len(tokens) else None, len(tokens), _bitmap(tokens) if len(tokens) else None, None))
                 every.append(tokens)
             tokens = np.sort(np.concatenate(every)) if every else np.zeros(0, np.uint64)
             starts = np.flatnonzero(np.concatenate(([True], tokens[1:] != tokens[:-1]))) if len(tokens) else np.zeros(0, np.int64)
             counts = np.diff(starts, append=len(tokens))
             often = counts >= LOCAL_OFTEN
-            rows += [(None, None, int(c), None, int(t)) for t, c in zip(tokens[starts[often]].view(np.int64), counts[often])]
+            rows += [(None, None, None, int(c), None, int(t)) for t, c in zip(tokens[starts[often]].view(np.int64), counts[often])]
             for i in range(0, len(rows), 4096):
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows[i : i + 4096]), schema)], schema=schema)
 
-    both = materialize(_docs(docs).mapInArrow(run, "doc_id long, sid long, n long, bitmap binary, token long"), "shingled")
+    both = materialize(_docs(docs, row).mapInArrow(run, "doc_id long, row long, sid long, n long, bitmap binary, token long"), "shingled")
     counts = both.filter("token is not null").groupBy("token").agg(F.sum("n").alias("count"))
     return both.filter("token is null").drop("token"), counts
 
@@ -399,16 +401,16 @@ def verified(pairs: DataFrame, docs: DataFrame, reps: DataFrame, words: int, per
     return materialize(joined.select("a", "b", "x", "y").mapInArrow(check, "a long, b long, linked boolean"), "verdicts")
 
 
-def similar(docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """doc_id, n_shingles, component_id for each row of docs: sets link when 100 |x and y| >= percent |x or y|."""
-    spark = docs.sparkSession
-    found, counts = measured(docs, words)
+def linked(docs: DataFrame, words: int, percent: int, row: Column | None = None) -> tuple[DataFrame, DataFrame]:
+    """doc_id (NO_ID for null), row, sid and n of each row of docs; and sid, rep, component_id of each distinct set: the
+    smallest doc_id that has it, and the smallest in its component."""
+    found, counts = measured(docs, words, row)
     frequent = most_frequent(counts)
 
     keyed = found.filter("n > 0")
-    reps = materialize(keyed.groupBy("sid").agg(F.min("doc_id").alias("rep")), "sets")
+    real = F.when(F.col("doc_id") != NO_ID, F.col("doc_id"))
+    reps = materialize(keyed.groupBy("sid").agg(F.coalesce(F.min(real), F.lit(NO_ID)).alias("rep")), "sets")
     shared = materialize(shared_tokens(prefixes(docs, words, percent, frequent)), "shared")
-    nodes = lambda p: p.join(reps.select(F.col("sid").alias("a"), F.col("rep").alias("ra")), "a").join(reps.select(F.col("sid").alias("b"), F.col("rep").alias("rb")), "b")
 
     # Components are of sids; their ids are turned into the smallest doc_id at the end.
     start = chosen_tokens(shared).withColumn("comp", F.col("sid"))
@@ -421,14 +423,42 @@ def similar(docs: DataFrame, words: int, percent: int) -> DataFrame:
     more = candidates(tiles(left, percent), keyed, percent, True).join(first.select("a", "b"), ["a", "b"], "left_anti")
     links = links.unionByName(verified(more, docs, reps, words, percent).filter("linked").select("a", "b"))
 
-    by_rep = components(nodes(links).select(F.col("ra").alias("a"), F.col("rb").alias("b")))
-    of_set = reps.select("sid", "rep").join(by_rep, F.col("rep") == F.col("node"), "left").select("sid", F.coalesce("component", "rep").alias("component_id"))
-    real = lambda c: F.when(F.col(c) != NO_ID, F.col(c))
-    done = found.join(of_set, "sid", "left").select(real("doc_id").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
-    return done.withColumn("component_id", real("component_id"))
+    by_sid = reps.join(components(links).withColumnRenamed("node", "sid"), "sid", "left").withColumn("comp", F.coalesce("component", "sid"))
+    # Null ids come last: a component's id is null only where all its rows' are.
+    real = F.when(F.col("rep") != NO_ID, F.col("rep"))
+    least = by_sid.groupBy("comp").agg(F.min(real).alias("component_id"))
+    return found.drop("bitmap"), materialize(by_sid.join(least, "comp").select("sid", "rep", "comp", "component_id"), "components")
+
+
+def similar(docs: DataFrame, words: int, percent: int) -> DataFrame:
+    """doc_id, n_shingles, component_id for each row of docs: sets link when 100 |x and y| >= percent |x or y|."""
+    found, sets = linked(docs, words, percent)
+    real = F.when(F.col("doc_id") != NO_ID, F.col("doc_id"))
+    alone = F.when(F.col("sid").isNull(), real)
+    return found.join(sets.select("sid", "component_id"), "sid", "left").select(real.alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("component_id", alone).alias("component_id"))
 
 
 def keep_one(docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """The document of each component that has the smallest doc_id, with all its columns."""
-    kept = similar(docs, words, percent).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct().withColumnRenamed("doc_id", "_kept")
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi")
+    """One row of each component, with all its columns: that with the smallest doc_id (null last), of several the one
+    with the smallest digest of its values, of rows that are equal in all values one. Rows without words have no links,
+    and all stay, as do all columns, whatever their names. Rows are told apart by doc_id and digest, so neither a null
+    nor a repeated doc_id makes a hot key."""
+    digest = F.xxhash64(*(F.to_json(F.struct(F.col(f"`{f.name}`"))) if "map<" in f.dataType.simpleString() else F.col(f"`{f.name}`") for f in docs.schema))
+    found, sets = linked(docs, words, percent, digest)
+    real = F.when(F.col("doc_id") != NO_ID, F.col("doc_id"))
+    rows = found.filter("sid is not null").join(sets.select("sid", "comp"), "sid").groupBy("comp", "doc_id", "row").agg(F.count(F.lit(1)).alias("copies"))
+    order = F.struct(real.isNull().alias("none"), F.col("doc_id"), F.col("row"))
+    best = rows.groupBy("comp").agg(F.min(order).alias("best")).select("comp", "best.doc_id", "best.row")
+    # The rows that go are few beside those that stay: where they are, they are broadcast, and no text is shuffled.
+    gone = materialize(rows.join(best, ["comp", "doc_id", "row"], "left_anti").select("doc_id", "row"), "gone")
+    again = materialize(rows.filter("copies > 1").join(best, ["comp", "doc_id", "row"], "left_semi").select("doc_id", "row"), "again")
+    id_, row = fresh(docs.columns, "id", "row")
+    keyed = docs.withColumn(row, digest).withColumn(id_, F.coalesce("doc_id", F.lit(NO_ID).cast("long")))
+    named = lambda t: t.select(F.col("doc_id").alias(id_), F.col("row").alias(row))
+    kept = keyed.join(named(gone), [id_, row], "left_anti")
+    whole = [F.col(f"`{c}`") for c in docs.columns]
+    if again.isEmpty():
+        return kept.select(whole)
+    # Equal rows of a kept key: one is taken, by an aggregation that meets them on the map side.
+    twice = kept.join(named(again), [id_, row], "left_semi").groupBy(id_, row).agg(F.first(F.struct(*whole)).alias("doc")).select("doc.*")
+    return kept.join(named(again), [id_, row], "left_anti").select(whole).unionByName(twice)

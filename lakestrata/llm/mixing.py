@@ -1,26 +1,29 @@
 """Mixing sources to target weights. DataFrame functions only.
 
-The words of a source, its documents in a pseudorandom order, are packed into blocks of BLOCK words. Every output shard
-draws how many of its slots each source gets: a multinomial draw by systematic sampling, so that expected counts are
-exact and the variance is small. The slots of a source are numbered through all shards; slot j is pass j div n_blocks,
-and its block is the place of j mod n_blocks under that pass's pseudorandom permutation (swap-or-not rounds, which
-permute any range). Blocks are then joined to the documents by index.
-
-A target stops at MOST_PASSES times its source's size and the excess is shared by weight (water filling); slots end
-there too, so no document is taken more than MOST_PASSES times.
+The words of a source, its documents in a pseudorandom order, are packed into blocks of BLOCK words. A mix is a number of
+slots, a block each, dealt to output shards of SHARD_SLOTS slots. How many slots of a shard each source gets is a
+multinomial draw, given that over all shards a source gets its quota: slots are numbered source by source, and a
+pseudorandom permutation of all slots says where each one goes, by counter alone, so any task can draw any slot. (Draws
+that ignored the quotas would miss the target of a source of n slots by some sqrt(n) of them.) The j-th slot of a source
+is its pass j div n_blocks, and its block is the place of j mod n_blocks under that pass's pseudorandom permutation
+(swap-or-not rounds, which permute any range). Blocks are then joined to the documents by index.
+
+A target stops at MOST_PASSES times its source's size and the excess is shared by weight (water filling); quotas end
+there too, so no document is taken more than MOST_PASSES times. Sources may be many: their ranks, targets and places are
+found by ranges and sums, not in one task.
 
 Edge cases: null text has size 0 and nothing is taken of it; a null source is a source of its own, the last; repeated
-rows are documents each; an empty table gives no rows; other columns are ignored; ties in the order of documents are
-between rows with equal id and size, whose results are interchangeable.
+rows are documents each, and so are rows with a null doc_id; a very long text lies in many blocks, which need not stay
+together; an empty table gives no rows; other columns are ignored, or, by mixed(), kept, whatever their names. Ties in the
+order of documents are between rows with equal id and size, whose results are interchangeable.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from .common import materialize
+from .common import materialize, running
 
 BLOCK = 64
 SHARD_SLOTS = 8192
@@ -28,57 +31,66 @@ MOST_PASSES = 3
 WEIGHTS = (5, 2, 1)
 SEED = 20240607
 ROUNDS = 16
-#: Documents of a chunk, within which offsets are summed by a window; chunks are summed by a second one.
-CHUNK_DOCS = 1024
+#: Numbers that one row is exploded to at a time.
+STEP = 8192
 WORD = r"[^\x20\x09-\x0D]+"
 
 
 def sized(docs: DataFrame) -> DataFrame:
+    """doc_id, source, size of each row, and row, a number that breaks ties."""
     size = F.coalesce(F.regexp_count(F.col("text"), F.lit(WORD)), F.lit(0)).cast("long")
-    return docs.select("doc_id", "source", size.alias("size"))
+    return docs.select("doc_id", "source", size.alias("size"), F.monotonically_increasing_id().alias("row"))
+
+
+def _by_source() -> Column:
+    return F.col("source").asc_nulls_last()
 
 
 def targets(sizes: DataFrame) -> DataFrame:
-    """source, source_size, weight, target, n_blocks for each source. These tables hold a row for a source."""
-    by_source = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
-    rank = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1
-    weight = F.element_at(F.array(*map(F.lit, WEIGHTS)), (rank % len(WEIGHTS) + 1).cast("int")).cast("double")
-    rows = by_source.withColumn("weight", weight).withColumn("cap", F.lit(float(MOST_PASSES)) * F.col("source_size"))
-    everything = Window.partitionBy()
-    up = Window.orderBy(F.col("cap") / F.col("weight"), F.col("source").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1)
-    level = (F.sum("source_size").over(everything) - F.coalesce(F.sum("cap").over(up), F.lit(0.0))) / (
-        F.sum("weight").over(everything) - F.coalesce(F.sum("weight").over(up), F.lit(0.0))
-    )
-    # The level of the water: the largest of those that hold if all sources before are at their cap.
-    rows = rows.withColumn("level", level).withColumn("level", F.max("level").over(everything))
-    target = F.least("cap", F.col("level") * F.col("weight"))
+    """source, source_size, weight, target, n_blocks for each source."""
+    by_source = materialize(sizes.groupBy("source").agg(F.sum("size").alias("source_size")), "sources")
+    rank = running(by_source, [_by_source()], {"rank": "1"})
+    weight = F.element_at(F.array(*map(F.lit, WEIGHTS)), (F.col("rank") % len(WEIGHTS) + 1).cast("int")).cast("double")
+    rows = materialize(rank.select("source", "source_size", weight.alias("weight"), (F.lit(float(MOST_PASSES)) * F.col("source_size")).alias("cap")), "weights")
+    # The level of the water rises until no further source is above its cap: some rounds of sums over the sources.
+    level, capped = 0.0, -1
+    while True:
+        full = F.col("cap") < F.lit(level) * F.col("weight")
+        free = F.when(~full, F.col("weight"))
+        n, rest, share = rows.agg(F.count_if(full), F.sum("source_size") - F.coalesce(F.sum(F.when(full, F.col("cap"))), F.lit(0.0)), F.sum(free)).first()
+        if n == capped or not rest or not share:
+            break
+        level, capped = rest / share, n
+    target = F.least("cap", F.lit(level) * F.col("weight"))
     n_blocks = F.ceil(F.col("source_size") / BLOCK).cast("long")
     return rows.select("source", "source_size", "weight", target.alias("target"), n_blocks.alias("n_blocks"))
 
 
+def _numbers(rows: DataFrame, n: Column, name: str) -> DataFrame:
+    """rows with name, each number below n: by steps, so that no array has more than STEP numbers (or n / STEP / STEP)."""
+    steps = lambda size: F.ceil(n / size).cast("long") - 1
+    upto = lambda start, last: F.explode(F.sequence(start, F.greatest(start, last)))
+    out = rows.filter(n > 0).withColumn(name, upto(F.lit(0).cast("long"), steps(STEP * STEP)))
+    out = out.withColumn(name, upto(F.col(name) * STEP, F.least((F.col(name) + 1) * STEP - 1, steps(STEP))))
+    # Few and small rows stand for many numbers: they are dealt to all tasks by number, which AQE doesn't coalesce.
+    out = out.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "source", name)
+    return out.withColumn(name, upto(F.col(name) * STEP, F.least((F.col(name) + 1) * STEP - 1, n - 1)))
+
+
 def slots(goals: DataFrame) -> DataFrame:
-    """source, block, pass, shard: a row for each slot that the shards draw."""
-    everything = Window.partitionBy()
-    before = Window.orderBy(F.col("source").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1)
-    rows = goals.filter(F.col("source_size") > 0).withColumn("share", F.col("target") * F.col("n_blocks") / F.col("source_size"))
-    rows = rows.withColumn("all", F.sum("share").over(everything)).withColumn("low", F.coalesce(F.sum("share").over(before), F.lit(0.0)) / F.col("all"))
-    rows = rows.withColumn("high", F.least(F.lit(1.0), F.col("low") + F.col("share") / F.col("all"))).withColumn("n_slots", F.ceil("all").cast("long"))
-    shards = F.sequence(F.lit(0).cast("long"), F.floor((F.col("n_slots") - 1) / SHARD_SLOTS).cast("long"))
-    drawn = rows.select("source", "n_blocks", "low", "high", "n_slots", F.explode(shards).alias("shard"))
-    size = F.least(F.lit(SHARD_SLOTS).cast("long"), F.col("n_slots") - F.col("shard") * SHARD_SLOTS)
-    start = F.pmod(F.xxhash64(F.lit(SEED), F.col("shard")), F.lit(1 << 30)) / float(1 << 30)
-    count = F.greatest(F.lit(0).cast("long"), (F.ceil(F.col("high") * size - start) - F.ceil(F.col("low") * size - start)).cast("long"))
-    drawn = drawn.select("source", "n_blocks", "shard", count.alias("count"))
-    so_far = Window.partitionBy("source").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
-    drawn = drawn.withColumn("first", F.coalesce(F.sum("count").over(so_far), F.lit(0).cast("long")))
-    last = F.least(F.col("first") + F.col("count"), F.col("n_blocks") * MOST_PASSES) - 1
-    # Few and small rows stand for many slots: they are dealt to all tasks by number, which AQE doesn't coalesce.
-    drawn = drawn.filter(F.col("first") <= last).repartition(int(goals.sparkSession.conf.get("spark.sql.shuffle.partitions")), "source", "shard")
-    numbered = drawn.select("source", "n_blocks", "shard", F.explode(F.sequence("first", last)).alias("slot"))
+    """source, block, pass, shard: a row for each slot of the mix."""
+    share = F.col("target") * F.col("n_blocks") / F.col("source_size")
+    # What is left of a slot is drawn, so that small sources get their share on average.
+    chance = F.pmod(F.xxhash64(F.lit(SEED), "source"), F.lit(1 << 30)) / float(1 << 30)
+    quota = F.least(F.floor(share + chance).cast("long"), F.col("n_blocks") * MOST_PASSES)
+    quotas = goals.filter(F.col("source_size") > 0).select("source", "n_blocks", quota.alias("quota"))
+    rows = materialize(running(quotas, [_by_source()], {"first": "quota"}), "quotas")
+    every = rows.agg(F.sum("quota")).first()[0] or 0
+    drawn = _numbers(rows, F.col("quota"), "slot")
+    place = _permuted(F.col("first") + F.col("slot"), F.lit(every).cast("long"), F.lit(SEED))
     turn = F.floor(F.col("slot") / F.col("n_blocks")).cast("long")
-    return numbered.select("source", "n_blocks", "shard", turn.alias("pass"), (F.col("slot") % F.col("n_blocks")).alias("index")).select(
-        "source", _permuted(F.col("index"), F.col("n_blocks"), F.col("source"), F.col("pass")).alias("block"), "pass", "shard"
-    )
+    numbered = drawn.select("source", "n_blocks", turn.alias("pass"), (F.col("slot") % F.col("n_blocks")).alias("index"), F.floor(place / SHARD_SLOTS).cast("long").alias("shard"))
+    return numbered.select("source", _permuted(F.col("index"), F.col("n_blocks"), F.col("source"), F.col("pass")).alias("block"), "pass", "shard")
 
 
 def _permuted(index, n, *key):
@@ -94,20 +106,12 @@ def _permuted(index, n, *key):
 
 
 def placed(sizes: DataFrame) -> DataFrame:
-    """sizes with `at`, the number of words of the source before the document. No window holds a whole source's rows."""
-    chunks = max(1, -(-sizes.count() // CHUNK_DOCS))
-    order = F.xxhash64(F.lit(SEED), F.col("doc_id"), F.col("size"))
-    rows = sizes.withColumn("_order", order).withColumn("_chunk", F.pmod("_order", F.lit(chunks)))
-    before = Window.unboundedPreceding, -1
-    totals = rows.groupBy("source", "_chunk").agg(F.sum("size").alias("_sum"))
-    totals = totals.withColumn("_base", F.coalesce(F.sum("_sum").over(Window.partitionBy("source").orderBy("_chunk").rowsBetween(*before)), F.lit(0))).drop("_sum")
-    totals = totals.withColumnsRenamed({"source": "_source", "_chunk": "_c"})
-    inner = F.sum("size").over(Window.partitionBy("source", "_chunk").orderBy("_order", "doc_id", "size").rowsBetween(*before))
-    return (
-        rows.withColumn("_inner", F.coalesce(inner, F.lit(0)))
-        .join(totals, F.col("source").eqNullSafe(F.col("_source")) & (F.col("_chunk") == F.col("_c")))
-        .select(*sizes.columns, (F.col("_base") + F.col("_inner")).cast("long").alias("at"))
-    )
+    """sizes (source, size, doc_id, row) with `at`, the number of words of the source before the document, in an order
+    that is pseudorandom by doc_id. It tells the rows of a source that have words apart."""
+    order = [_by_source(), F.xxhash64(F.lit(SEED), F.col("doc_id"), F.col("size")), F.col("row")]
+    rows = materialize(running(sizes, order, {"at": "size"}), "placed")
+    starts = rows.groupBy("source").agg(F.min("at").alias("start")).withColumnRenamed("source", "_source")
+    return rows.join(starts, F.col("source").eqNullSafe(F.col("_source"))).withColumn("at", (F.col("at") - F.col("start")).cast("long")).drop("_source", "start")
 
 
 def doc_blocks(rows: DataFrame) -> DataFrame:
@@ -126,47 +130,47 @@ def _by_block(left: DataFrame, right: DataFrame) -> DataFrame:
 
 
 def mixture(docs: DataFrame) -> DataFrame:
-    """doc_id, size, source_size, target and taken for each row of docs."""
+    """doc_id, size, source_size, target and taken for each row of docs, and first_shard, the first that has a word of it."""
     sizes = materialize(sized(docs), "sizes")
     goals = materialize(targets(sizes), "targets")
     rows = placed(sizes)
-    times = slots(goals).groupBy("source", "block").agg(F.count(F.lit(1)).alias("times"))
+    times = slots(goals).groupBy("source", "block").agg(F.count(F.lit(1)).alias("times"), F.min("shard").alias("shard"))
     words = ((F.col("to") - F.col("from")) * F.col("times")).alias("words")
-    found = _by_block(doc_blocks(rows), times).select("source", "at", "doc_id", "size", words).groupBy("source", "at", "doc_id", "size").agg(F.sum("words").alias("taken"))
+    found = _by_block(doc_blocks(rows), times).select("source", "at", words, "shard").groupBy("source", "at").agg(F.sum("words").alias("taken"), F.min("shard").alias("first_shard"))
     have = rows.filter(F.col("size") > 0).join(
-        found.withColumnsRenamed({"source": "_s", "at": "_a", "doc_id": "_d", "size": "_n"}),
-        F.col("source").eqNullSafe(F.col("_s")) & (F.col("at") == F.col("_a")) & F.col("doc_id").eqNullSafe(F.col("_d")),
-        "left",
-    ).select("doc_id", "source", "size", "taken")
-    every = have.unionByName(sizes.filter(F.col("size") == 0).withColumn("taken", F.lit(0).cast("long")))
+        found.withColumnsRenamed({"source": "_s", "at": "_a"}), F.col("source").eqNullSafe(F.col("_s")) & (F.col("at") == F.col("_a")), "left"
+    ).select("doc_id", "source", "size", "taken", "first_shard")
+    every = have.unionByName(sizes.filter(F.col("size") == 0).select("doc_id", "source", "size"), allowMissingColumns=True)
     goal = goals.select(F.col("source").alias("_s"), "source_size", "target")
     return every.join(goal, F.col("source").eqNullSafe(F.col("_s"))).select(
-        "doc_id", "size", F.col("source_size").cast("long").alias("source_size"), "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), "source"
+        "doc_id", "size", F.col("source_size").cast("long").alias("source_size"), "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), "source", "first_shard"
     )
 
 
-def _numbered(docs: DataFrame) -> DataFrame:
-    """docs with _j, which tells rows of one doc_id apart; rows are sorted only where there are such rows."""
-    if docs.groupBy("doc_id").count().filter("count > 1").isEmpty():
-        return docs.withColumn("_j", F.lit(0))
-    return docs.withColumn("_j", F.row_number().over(Window.partitionBy("doc_id").orderBy("source", "text")))
+def _told_apart(docs: DataFrame) -> DataFrame:
+    """doc (all columns of docs) and row, which tells rows apart: the doc_id, or where that is null or repeated
+    somewhere a number, for which the rows are written out."""
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc"))
+    if docs.groupBy("doc_id").count().filter("count > 1 or doc_id is null").isEmpty():
+        return rows.withColumn("row", F.col("doc.doc_id").cast("long"))
+    return materialize(rows.withColumn("row", F.monotonically_increasing_id()), "rows")
 
 
 def mixed(docs: DataFrame) -> DataFrame:
     """The mix as documents: for each document and pass the words of its taken blocks (the whole text where all are),
     with the other columns of docs. Documents without words, and those of which nothing is taken, go."""
-    numbered = _numbered(docs)
-    size = F.coalesce(F.regexp_count(F.col("text"), F.lit(WORD)), F.lit(0)).cast("long")
-    sizes = materialize(numbered.select("doc_id", "source", size.alias("size"), "_j"), "sizes")
+    told = _told_apart(docs)
+    size = F.coalesce(F.regexp_count(F.col("doc.text"), F.lit(WORD)), F.lit(0)).cast("long")
+    sizes = materialize(told.select("doc.doc_id", "doc.source", size.alias("size"), "row"), "sizes")
     rows = placed(sizes)
     taken = _by_block(doc_blocks(rows), slots(materialize(targets(sizes), "targets")).select("source", "block", "pass"))
-    runs = taken.groupBy("doc_id", "_j", "size", "pass").agg(F.sort_array(F.collect_list(F.struct("from", "to"))).alias("_runs"))
-    runs = runs.withColumnsRenamed({"doc_id": "_doc_id", "_j": "_k", "size": "_size"}).drop("pass")
-    joined = numbered.join(runs, F.col("doc_id").eqNullSafe(F.col("_doc_id")) & (F.col("_j") == F.col("_k")))
-    whole = F.aggregate("_runs", F.lit(0).cast("long"), lambda n, r: n + r["to"] - r["from"]) == F.col("_size")
-    words = F.regexp_extract_all(F.col("text"), F.lit(WORD), F.lit(0))
-    some = F.element_at(F.transform(F.array(words), lambda w: F.array_join(F.flatten(F.transform("_runs", lambda r: F.slice(w, (r["from"] + 1).cast("int"), (r["to"] - r["from"]).cast("int")))), " ")), 1)
-    joined = joined.withColumn("text", F.when(whole, F.col("text")).otherwise(some))
+    runs = taken.groupBy("row", "size", "pass").agg(F.sort_array(F.collect_list(F.struct("from", "to"))).alias("runs")).drop("pass")
+    joined = told.join(runs, "row")
+    whole = F.aggregate("runs", F.lit(0).cast("long"), lambda n, r: n + r["to"] - r["from"]) == F.col("size")
+    words = F.regexp_extract_all(F.col("doc.text"), F.lit(WORD), F.lit(0))
+    some = F.element_at(F.transform(F.array(words), lambda w: F.array_join(F.flatten(F.transform("runs", lambda r: F.slice(w, (r["from"] + 1).cast("int"), (r["to"] - r["from"]).cast("int")))), " ")), 1)
+    joined = joined.withColumn("text", F.when(whole, F.col("doc.text")).otherwise(some))
+    own = {"text": F.col("text")}
     if "n_chars" in docs.columns:
-        joined = joined.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
-    return joined.select(docs.columns)
+        own["n_chars"] = F.char_length("text").cast(docs.schema["n_chars"].dataType)
+    return joined.select(*(own.get(c, F.col(f"doc.`{c}`")).alias(c) for c in docs.columns))

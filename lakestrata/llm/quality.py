@@ -12,12 +12,14 @@ repeated rows and ids each give a row; an empty table gives no rows; other colum
 from __future__ import annotations
 
 from collections import Counter
+from collections.abc import Callable
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
-from .common import materialize, null_safe_key, per_row
+from .common import fresh, materialize, null_safe_key, per_row
 
 #: A host is bad if more than this share of its documents is expected to fail, after shrinkage.
 BAD_HOST_RATE = 0.5
@@ -28,6 +30,7 @@ SPACE = b" \t\n\x0b\x0c\r"
 SYMBOLS = b"#*$%&|<>"
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines")
 _ARROW = pa.schema([("doc_id", pa.int64()), ("host", pa.string()), *((m, pa.int64()) for m in MEASURES)])
+_MEASURES = StructType([StructField(m, LongType()) for m in MEASURES])
 _DDL = "doc_id long, host string, " + ", ".join(f"{m} long" for m in MEASURES)
 
 
@@ -54,16 +57,30 @@ def measured(docs: DataFrame) -> DataFrame:
     return rows.mapInArrow(per_row(_ARROW, lambda doc_id, host, text: (doc_id, host, *measure(text))), _DDL)
 
 
+def annotated(docs: DataFrame, name: str) -> DataFrame:
+    """docs with a struct of the six measures under name, row by row."""
+    kind = pa.struct([(m, pa.int64()) for m in MEASURES])
+
+    def run(batches):
+        for batch in batches:
+            texts = batch.column(batch.schema.get_field_index("text")).cast(pa.binary()).to_pylist()
+            found = pa.array([dict(zip(MEASURES, measure(t))) for t in texts], kind)
+            yield batch.append_column(name, found)
+
+    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(name, _MEASURES)]))
+
+
+def rule_conditions(m: Callable[[str], Column] = F.col) -> tuple[Column, Column]:
+    """Whether a document fails the base rules, and whether it fails a soft one, from m of each measure's name."""
+    words, repeated = m("n_words"), m("n_repeat_words")
+    base = (words < 50) | (100 * repeated > 50 * words)
+    soft = (10 * m("n_symbols") > m("word_chars")) | (10 * m("n_dup_lines") > 3 * m("n_lines")) | (100 * repeated > 20 * words)
+    return base, soft | (m("word_chars") < 3 * words) | (m("word_chars") > 10 * words)
+
+
 def ruled(stats: DataFrame) -> DataFrame:
     """Adds base_failed and soft_failed to measured documents."""
-    base = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    soft = (
-        (10 * F.col("n_symbols") > F.col("word_chars"))
-        | (10 * F.col("n_dup_lines") > 3 * F.col("n_lines"))
-        | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
-        | (F.col("word_chars") < 3 * F.col("n_words"))
-        | (F.col("word_chars") > 10 * F.col("n_words"))
-    )
+    base, soft = rule_conditions()
     return stats.withColumn("base_failed", base).withColumn("soft_failed", soft)
 
 
@@ -98,6 +115,16 @@ def judge(docs: DataFrame) -> DataFrame:
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
-    """The documents that the rules keep, with all their columns. A doc_id goes if any of its rows is rejected."""
-    rejected = judge(docs).filter(~F.col("kept")).select(F.col("doc_id").alias("_rejected")).distinct()
-    return docs.join(rejected, F.col("doc_id").eqNullSafe(F.col("_rejected")), "left_anti")
+    """The documents that the rules keep, with all their columns. Each row is judged by itself, whatever its doc_id. Rows
+    are written with their measures, so no text is measured twice or shuffled.
+
+    Rows with a null text go; so does nothing else that lacks a value; an empty table stays one; columns of any other
+    names are kept as they are."""
+    name, host, bad = fresh(docs.columns, "measures", "host", "host_bad")
+    rows = materialize(annotated(docs, name), "annotated")
+    # What is counted has no other columns, so none can clash.
+    hosts = host_verdicts(ruled(rows.select(null_safe_key("source").alias("host"), F.col(f"{name}.*"))))
+    hosts = materialize(hosts.filter("host_bad"), "hosts").select(F.col("host").alias(host), F.col("host_bad").alias(bad))
+    base, soft = rule_conditions(lambda m: F.col(f"{name}.{m}"))
+    rows = rows.withColumn(host, null_safe_key("source")).join(hosts, host, "left")
+    return rows.filter(~base & ~(F.coalesce(F.col(bad), F.lit(False)) & soft)).select([F.col(f"`{c}`") for c in docs.columns])
