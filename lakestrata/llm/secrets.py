@@ -8,13 +8,15 @@ characters of a base64 or compressed layer all map to the whole encoded run. A b
 is decoded at all four phases; of a run over several lines, a finding spans the lines' parts that it comes from, and one
 in compressed data all from the line where that begins.
 
-Layers of bytes are read as Latin-1: patterns are ASCII, so no byte that isn't text hides what lies beside it. Compressed
-data is opened wherever its magic number stands in such a layer (zlib's weak one at its head only), to any depth, and
+Layers of bytes are read as Latin-1, and without zero bytes, as UTF-16 has them: patterns are ASCII, so no byte that isn't
+text hides what lies beside it. Compressed
+data is opened wherever its magic number stands in such a layer (zlib's weak one where encoded data begins), to any depth, and
 broken data as far as it goes. Of decompressed data MAX_LAYER bytes are held at once; more is scanned in pieces that
 share OVERLAP bytes, so only what is longer than that can be cut; compressed data of over MAX_LAYER bytes inside a
 larger layer, not at its head, is opened as far as its piece goes.
 
-Edge cases: null text is empty; each row is scanned by itself; an empty table gives no rows; other columns are ignored.
+Edge cases: null text is empty; each row, repeated or with a null doc_id, is scanned by itself, and a very long text as a
+whole; an empty table gives no rows; other columns are ignored, or, by redacted(), kept, whatever their names.
 """
 
 from __future__ import annotations
@@ -49,7 +51,9 @@ _HEX = re.compile(r"[0-9a-f]{24,}")
 _URL = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 _ESCAPE = re.compile(r"(?:\\u[0-9A-Fa-f]{4}|\\x[0-9A-Fa-f]{2}|\\U[0-9A-Fa-f]{8})+")
 _ESCAPE_1 = re.compile(r"\\(?:u([0-9A-Fa-f]{4})|x([0-9A-Fa-f]{2})|U([0-9A-Fa-f]{8}))")
+_ZEROS = re.compile(r"\0+")
 _MAGIC = re.compile(rb"\x1f\x8b\x08|BZh[1-9]|\xfd7zXZ\x00|\x28\xb5\x2f\xfd|\A\x78[\x01\x5e\x9c\xda]")
+_ZLIB_HEAD = re.compile(rb"\x78[\x01\x5e\x9c\xda]")
 _PLAIN = str.maketrans("-_", "+/")
 _WORD = re.compile(r"[A-Za-z0-9+/_-]+")
 # A run of 16 characters, or one that goes on over line breaks.
@@ -193,18 +197,36 @@ def _base64_layers(text: str, places, run: re.Match) -> Iterator[tuple[str, list
             yield piece, one or (line[m.start()][0], line[-1][1])
 
 
+def _unescaped_layers(text: str, places: list[tuple[int, int]]) -> Iterator[tuple[str, tuple[int, int]]]:
+    """What compressed data holds whose bytes were escaped, some of them or all. It goes on up to white space that wasn't;
+    zlib's weak magic number counts where escapes begin."""
+    data, wide = text.encode("latin-1", "replace"), [b - a > 1 for a, b in places]
+    starts = [m.start() for m in _MAGIC.finditer(data) if m[0][:1] != b"x"]
+    # Its first byte is a letter, which may or may not be escaped; the second one is no letter.
+    starts += [at for m in _ZLIB_HEAD.finditer(data) if wide[(at := m.start()) + 1] and not (wide[at] and at and wide[at - 1])]
+    for start in starts:
+        end = next((i for i in range(start, len(text)) if not wide[i] and text[i].isspace()), len(text))
+        for piece in _pieces([data[start:end]]):
+            yield piece, _span(places, start, end)
+
+
 def _layers(text: str, places) -> Iterator[tuple[str, list[tuple[int, int]] | tuple[int, int]]]:
     """The layers one step below: the whole layer with its escapes undone, what base64 runs hold, and, in a layer of
-    bytes, what compressed data holds."""
+    bytes or one with escapes undone, what compressed data holds."""
     if "%" in text and _URL.search(text):
         yield _replaced(text, places, _URL, _unquote)
     if "\\" in text and _ESCAPE.search(text):
         yield _replaced(text, places, _ESCAPE, _unescape)
+    if "\0" in text:
+        # UTF-16 and UTF-32, of either order and phase: patterns are ASCII, whose other bytes are zero.
+        yield _replaced(text, places, _ZEROS, lambda run: "")
     if isinstance(places, tuple):
         data = text.encode("latin-1", "replace")
         for m in _MAGIC.finditer(data):
             for piece in _pieces([data[m.start() :]]):
                 yield piece, places
+    elif places is not None:
+        yield from _unescaped_layers(text, places)
     for m in _BASE64.finditer(text):
         yield from _base64_layers(text, places, m)
 

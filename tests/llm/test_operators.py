@@ -79,7 +79,7 @@ def test_licenses(spark):
     for r in licenses.find_licenses(frame(spark, rows)).collect():
         found.setdefault(r["doc_id"], []).append((r["license"], r["exact"]))
         text = dict(rows)[r["doc_id"]][r["start"] : r["end"]]
-        assert not r["exact"] or licenses._words(text) and [w for w, _, _ in licenses._words(text)] == [w for w, _, _ in licenses._words(licenses.TEMPLATES[r["license"]])]
+        assert not r["exact"] or licenses._words(text) and [w for w, _, _ in licenses._words(text)] == licenses.Scanner().words[r["template"]]
     assert found[1] == [("MIT", True)] and found[2] == [("GPL-3.0", True)]
     assert found[3] == [("MIT-text", True), ("CC-BY-NC-4.0", True)]
     assert found[4] == [("MIT-text", False)]
@@ -88,6 +88,41 @@ def test_licenses(spark):
     assert licenses.find_licenses(empty(spark)).count() == 0
 
 
+def test_licenses_against_every_exact_notice():
+    """Over a whole corpus: each place where a template's words stand as they are lies in a notice that is found, and each
+    notice has the differences that it says."""
+    import pyarrow.parquet as pq
+
+    scan, n = licenses.Scanner(), 0
+    for text in pq.read_table("/root/testdata/sf0.01/documents.parquet", columns=["text"]).column(0).to_pylist():
+        words, found = licenses._words(text or ""), scan(text)
+        folded = [w for w, _, _ in words]
+        line = " ".join(["", *folded, ""])
+        for want in scan.words.values():
+            if f" {' '.join(want)} " in line:
+                for i in (i for i in range(len(words)) if folded[i : i + len(want)] == want):
+                    n += 1
+                    assert any(a <= words[i][1] and words[i + len(want) - 1][2] <= b for _, a, b, *_ in found), want
+        for name, a, b, _, lacks, added in found:
+            here = [w for w, _, _ in licenses._words(text[a:b])]
+            assert len(here) == len(scan.words[name]) - lacks + added and (lacks or added or here == scan.words[name])
+    assert n > 20
+
+
+def test_licenses_wrapped_and_varied():
+    scan = licenses.Scanner()
+    names = lambda text: [h[0].partition(":")[0] for h in scan(text)]
+    long = "filler words of no license\n" * 20_000
+    for text, want in {
+        "Released under the MIT\nLicense.": "MIT", "x\nTo the extent possible under law,\nthe author has waived all copyright and related or neighboring rights to this work.\ny": "CC0-1.0",
+        "Licensed under\nCC BY 4.0.": "CC-BY-4.0", "Licensed under the MIT License": "MIT", "Licensed under the Apache License 2.0": "Apache-2.0", "# SPDX-License-Identifier: MIT": "MIT",
+        "Copyright 2020 Nobody. All rights reserved.": "reserved", "Released under the terms of the MIT License": "MIT", long + "Licensed under the BSD License.\n" + long: "BSD",
+    }.items():
+        assert names(text) == [want], text[:80]
+    for text in ("Licensed under CC BY-ND 4.0.", "Licensed under the License", "a license of no kind", ""):
+        assert names(text) == [], text
+
+
 # 2
 
 
@@ -260,6 +295,35 @@ def test_secrets_in_base64_anywhere():
     assert secrets.scan(f"one\n{lines}\ntwo") == [(69, 133, "decoded_assign")]
 
 
+def test_planted_secrets_are_found_under_any_layers():
+    """Recall over random nests of encodings, with the span that holds the whole nest and nothing beside it."""
+    import bz2
+    import lzma
+    import urllib.parse
+
+    import zstandard
+
+    rng = random.Random(5)
+    packers = [lambda b: gzip.compress(b, mtime=0), zlib.compress, bz2.compress, lzma.compress, zstandard.ZstdCompressor().compress, lambda b: b.decode("latin-1").encode("utf-16"), lambda b: b.decode("latin-1").encode("utf-16-be")]
+    coders = [
+        lambda b: base64.b64encode(b).decode(), lambda b: base64.urlsafe_b64encode(b).decode(), lambda b: "".join(f"%{c:02X}" for c in b), lambda b: "".join(f"\\u{c:04x}" for c in b),
+        lambda b: "".join(f"\\x{c:02x}" for c in b), lambda b: urllib.parse.quote(base64.b64encode(b).decode(), safe=""),
+    ]
+    found, clean = 0, 0
+    for n in range(400):
+        data = rng.choice([b"password=hunter22", b"AKIA" + b"Q7" * 9, b"deadbeef" * 4]) + b" and some text" * rng.randrange(4)
+        for _ in range(rng.randrange(4)):
+            data = rng.choice(packers)(data)
+            data = rng.choice(coders)(data).encode()
+        run = rng.choice(coders)(data)
+        head = rng.choice(["before ", "https://x.io/get/", "key: ", "id-"])
+        hits = [(a, b) for a, b, kind in secrets.scan(f"{head}{run} after") if kind.startswith("decoded")]
+        found += bool(hits) and min(a for a, _ in hits) >= 0 and max(b for _, b in hits) <= len(head) + len(run)
+        clean += not any(kind.startswith("decoded") for *_, kind in secrets.scan(f"{head}{rng.choice(coders)(b'nothing of note in here')} after"))
+    print(f"secret layers: {found} of 400 found, {clean} of 400 clean ones left alone")
+    assert found >= 392 and clean == 400
+
+
 def test_redaction(spark):
     df = frame(spark, [(1, "token=abcdefgh and more"), (2, None), (3, "clean")])
     out = by_id(secrets.redacted(df), "text", "n_chars", "size")
@@ -373,6 +437,51 @@ def test_language(spark):
 # 8
 
 
+def plain_language(text, dictionaries):
+    """The language whose dictionary gives the smallest blocks, by a compressor made anew for each."""
+    import zstandard
+
+    def size(data, text):
+        d = zstandard.ZstdCompressionDict(data.rjust(8), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        d.precompute_compress(level=language.LEVEL)
+        one = zstandard.ZstdCompressor(level=language.LEVEL, dict_data=d, write_checksum=False, write_content_size=False, write_dict_id=False)
+        return sum(len(one.compress(text[i : i + language.BLOCK])) for i in range(0, len(text), language.BLOCK))
+
+    if not re.search(r"[^\W\d_]", text or ""):
+        return "und"
+    return min(sorted(dictionaries), key=lambda k: size(dictionaries[k], text.encode()))
+
+
+def test_language_against_plain_compression_and_held_out_rows(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    models = language.train(docs)
+    assert set(models) == {r[0] for r in docs.select("lang").distinct().collect()} - {None} and all(len(m) > 30_000 for m in models.values())
+    rows = docs.collect()
+    got = {r["doc_id"]: r for r in language.identify(docs).collect()}
+    assert all(got[r["doc_id"]]["lang_pred"] == plain_language(r["text"], models) for r in rows)
+    held = [r for r in rows if got[r["doc_id"]]["held_out"] and r["lang"]]
+    assert {r["doc_id"] for r in held} == {r["doc_id"] for r in rows if r["lang"] and zlib.crc32(str(r["doc_id"]).encode()) % 4 == 2}
+    right = sum(got[r["doc_id"]]["lang_pred"] == r["lang"] for r in held)
+    print(f"languages: {right} of {len(held)} held-out texts")
+    assert right >= 0.95 * len(held)
+
+
+def test_many_languages(spark):
+    """More than any list of them: all can be predicted, from a shortlist, with few or short texts too."""
+    rng = random.Random(9)
+    vocabulary = {f"l{i:03}": ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(6)) for _ in range(30)] for i in range(300)}
+    texts = {k: [prose(rng, 80, v) for _ in range(3)] for k, v in vocabulary.items()}
+    models = {k: language._fair([t.encode() for t in v], 4096) for k, v in texts.items()} | {"short": b"hey", "empty": b""}
+    classify = language.Classifier(models)
+    fresh = [(k, prose(rng, 60, v)) for k, v in vocabulary.items()]
+    assert sum(classify(t)[0] == k for k, t in fresh) >= 297
+    assert all(len(classify.candidates(t.encode())) == language.SHORTLIST for _, t in fresh) and classify("x")[0] in models
+    assert classify(" ".join(t for _, t in fresh) * 20)[0] in models
+    rows = [(i, t, "long" if i % 2 else "tiny", "s") for i, t in enumerate(("hello", "a text of more words " * 400) * 4)] + [(100, "", "none", "s")]
+    trained = language.train(frame(spark, rows))
+    assert set(trained) == {"long", "tiny", "none"} and len(trained["long"]) > 20_000
+
+
 def test_mixing(spark):
     rng = random.Random(7)
     sources = ["big"] * 60 + ["mid"] * 25 + ["small"] * 10 + [None] * 5
