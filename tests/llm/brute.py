@@ -80,3 +80,37 @@ def targets(sizes, weights=(5, 2, 1), most=3):
         if not over:
             return {**fixed, **share}
         fixed |= {s: most * total[s] for s in over}
+
+
+def kept(rows):
+    """Whether the quality rules keep each of a list of (source, text) rows."""
+    out, hosts = [], {}
+    for source, text in rows:
+        n, chars, symbols, dup, repeated = quality(text)
+        lines = sum(1 for line in (text or "").split("\n") if re.search(r"[^\x20\x09-\x0D]", line))
+        base = n < 50 or 100 * repeated > 50 * n
+        soft = 10 * symbols > chars or 10 * dup > 3 * lines or 100 * repeated > 20 * n or chars < 3 * n or chars > 10 * n
+        out.append((source, base, soft))
+        seen = hosts.setdefault(source, [0, 0])
+        seen[0] += 1
+        seen[1] += base or soft
+    rates = [f / n for n, f in hosts.values()]
+    mean = sum(rates) / len(rates) if rates else 0
+    spread = sum((r - mean) ** 2 for r in rates) / len(rates) if rates else 0
+    strength = mean * (1 - mean) / spread - 1 if 1e-12 < spread < mean * (1 - mean) else 100.0
+    bad = {h for h, (n, f) in hosts.items() if round((f + mean * strength) / (n + strength), 6) > 0.5}
+    return [not base and not (source in bad and soft) for source, base, soft in out]
+
+
+def masked(text):
+    """text with the base patterns' matches, overlapping ones joined, replaced."""
+    assign = re.compile(r"""(?ai:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
+    spans = [m.span() for m in assign.finditer(text) if len(m[2]) >= 6]
+    spans += [m.span() for m in re.finditer("AKIA[A-Z0-9]+", text) if len(m[0]) >= 20]
+    spans += [m.span() for m in re.finditer("[0-9a-f]+", text) if len(m[0]) >= 24]
+    out, last = "", 0
+    for a, b in sorted(spans):
+        if a >= last:
+            out += text[last:a] + "[SECRET]"
+        last = max(last, b)
+    return out + text[last:]
