@@ -329,10 +329,14 @@ def _forest(members: list[tuple], apart: bool, percent: int) -> list[tuple[int,
     return chosen
 
 
+def _small(ids: DataFrame) -> DataFrame:
+    """A written table of ids, to be broadcast where it is small, which spares shuffling wide rows."""
+    return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+
+
 def _picked(rows: DataFrame, key: str, ids: DataFrame) -> DataFrame:
-    """The rows whose key is among ids (one column of that name): a small table of ids spares shuffling wide rows."""
-    ids = materialize(ids.distinct(), "ids")
-    return rows.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, key, "left_semi")
+    """The rows whose key is among ids (one column of that name)."""
+    return rows.join(_small(materialize(ids.distinct(), "ids")), key, "left_semi")
 
 
 def candidates(tiled: DataFrame, sets: DataFrame, percent: int, whole: bool) -> DataFrame:
@@ -449,12 +453,12 @@ def keep_one(docs: DataFrame, words: int, percent: int) -> DataFrame:
     rows = found.filter("sid is not null").join(sets.select("sid", "comp"), "sid").groupBy("comp", "doc_id", "row").agg(F.count(F.lit(1)).alias("copies"))
     order = F.struct(real.isNull().alias("none"), F.col("doc_id"), F.col("row"))
     best = rows.groupBy("comp").agg(F.min(order).alias("best")).select("comp", "best.doc_id", "best.row")
-    # The rows that go are few beside those that stay: where they are, they are broadcast, and no text is shuffled.
+    # The rows that go are fewer than those that stay.
     gone = materialize(rows.join(best, ["comp", "doc_id", "row"], "left_anti").select("doc_id", "row"), "gone")
     again = materialize(rows.filter("copies > 1").join(best, ["comp", "doc_id", "row"], "left_semi").select("doc_id", "row"), "again")
     id_, row = fresh(docs.columns, "id", "row")
     keyed = docs.withColumn(row, digest).withColumn(id_, F.coalesce("doc_id", F.lit(NO_ID).cast("long")))
-    named = lambda t: t.select(F.col("doc_id").alias(id_), F.col("row").alias(row))
+    named = lambda t: _small(t.select(F.col("doc_id").alias(id_), F.col("row").alias(row)))
     kept = keyed.join(named(gone), [id_, row], "left_anti")
     whole = [F.col(f"`{c}`") for c in docs.columns]
     if again.isEmpty():
