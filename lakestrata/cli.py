@@ -48,7 +48,7 @@ def build_parser() -> argparse.ArgumentParser:
     add("diff", "changes between two refs", text("before"), text("after"))
     add("merge", "merge a ref into a branch", text("source"), text("--into"), text("-m --message"))
     add("verify", "read sources and store the bytes of unverified entries", text("prefixes", nargs="*"), text("--ref"), flag("--dry-run", "count only"))
-    add("gc", "count, or delete, what no branch reaches", flag("--delete", "delete orphans"))
+    add("gc", "count, or delete, what no branch reaches", flag("--delete", "delete orphans"), text("--grace", type=float, default=24.0, help="hours for which new objects are left alone"))
     query = commands.add_parser("query", help="catalog and pruning").add_subparsers(dest="query", required=True)
     add("build", "export the catalog of the current branch", text("--output-dir"), flag("--parquet", "write files as parquet"), parent=query)
     add("prune", "row groups that can hold matching rows", text("ref"), text("path"), text("--where", required=True), parent=query)
@@ -67,7 +67,7 @@ def build_parser() -> argparse.ArgumentParser:
     add("list", "print settings", parent=config)
     for name in ("push", "pull", "fetch"):
         add(name, f"{name} a branch", text("remote"), text("branch", nargs="?"))
-    add("transfer", "print the copy commands of a ref", text("target"), text("--ref"))
+    add("transfer", "print the copy commands of a ref", text("target"), text("--ref"), flag("--download", "copy from the target"), flag("--blobs-only", "leave out snapshot, statistics and commit"))
     return parser
 
 
@@ -150,7 +150,7 @@ def verify(repo, a):
 
 @command
 def gc(repo, a):
-    found = repo.gc(dry_run=not a.delete)
+    found = repo.gc(dry_run=not a.delete, grace=3600 * a.grace)
     _show(a, {k: {"reachable": live, "orphaned": dead} for k, (live, dead) in found.items()}, [f"{k}: {live} reachable, {dead} orphaned" for k, (live, dead) in sorted(found.items())])
 
 
@@ -243,7 +243,7 @@ for _name in ("push", "pull", "fetch"):
 
 @command
 def transfer(repo, a):
-    lines = [r["command"] for r in repo.transfer_commands(a.target, a.ref).collect()]
+    lines = [r["command"] for r in repo.transfer_commands(a.target, a.ref, a.download, not a.blobs_only).collect()]
     _show(a, lines, lines)
 
 

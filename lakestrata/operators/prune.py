@@ -154,6 +154,18 @@ def planned(entries: DataFrame, stats: DataFrame, prefix: str, predicates: Seque
     return prune(wanted.join(stats.drop("path"), "footer"), predicates)
 
 
+def report(entries: DataFrame, stats: DataFrame, prefix: str, predicates: Sequence[Predicate]) -> DataFrame:
+    """planned() with `applicable`, the columns that decided some row group (in the order of the predicates, each as often as
+    it stands there), and `inapplicable`, sorted, those that left some undecided."""
+    wanted = entries.filter(F.col("path").startswith(prefix) & F.col("footer").isNotNull()).select("path", "footer")
+    mine = wanted.join(stats.drop("path"), "footer")
+    used = applicability(mine, predicates).groupBy("path").agg(
+        F.transform(F.sort_array(F.collect_list(F.when(F.col("applicable"), F.struct("n", "column")))), lambda x: x["column"]).alias("applicable"),
+        F.sort_array(F.collect_set(F.when(~F.col("applicable"), F.col("column")))).alias("inapplicable"),
+    )
+    return prune(mine, predicates).join(used, "path", "left")
+
+
 def scan_plan(entries: DataFrame, stats: DataFrame, prefix: str, predicates: Sequence[Predicate]) -> DataFrame:
     """Every entry below prefix that may hold matching rows: files without statistics stay, with null row groups."""
     wanted = entries.filter(F.col("path").startswith(prefix)).select("path", "footer", "blob_hash", "source_uri")

@@ -10,7 +10,8 @@ import datetime
 import hashlib
 import json
 import os
-from collections.abc import Iterable
+import time
+from collections.abc import Callable, Iterable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -30,6 +31,13 @@ from .sources.store import Commit, Store, meta_uri
 
 #: Attempts of a staged commit whose branch others move.
 ATTEMPTS = 3
+#: Seconds for which collection leaves new objects alone.
+GRACE = 24 * 3600.0
+#: Commits that the driver walks one by one; longer histories are read as a table, by the graph operators.
+WALKED = 200
+
+#: Told of a kind of object and how many of it were sent.
+Progress = Callable[[str, int], None]
 
 
 @dataclass(frozen=True)
@@ -139,8 +147,16 @@ class Repository:
             return name
         raise StrataError(f"no branch or commit '{name}'")
 
+    def _long(self) -> bool:
+        return len(self.store.names("commits")) > WALKED
+
+    def _ids(self, *ids: str) -> DataFrame:
+        return self.spark.createDataFrame([(i,) for i in ids], "id string")
+
     def _ancestors(self, *heads: str | None) -> set[str]:
         """Every commit that heads reach, by any parents."""
+        if self._long():
+            return {r["id"] for r in graph.ancestors(self.store.commits(), self._ids(*filter(None, heads))).toLocalIterator()}
         found: set[str] = set()
         work = [h for h in heads if h]
         while work:
@@ -157,6 +173,9 @@ class Repository:
         if new is None:
             return False
         floor, seen, work = self.store.commit(old).generation, set(), [new]
+        if self._long():
+            recent = self.store.commits().filter(F.col("generation") >= floor)
+            return not graph.ancestors(recent, self._ids(new)).filter(F.col("id") == old).isEmpty()
         while work:
             one = work.pop()
             if one == old:
@@ -167,6 +186,9 @@ class Repository:
         return False
 
     def merge_base(self, a: str, b: str) -> str | None:
+        if self._long():
+            found = graph.merge_base(self.store.commits(), self._ids(a), self._ids(b)).first()
+            return found["id"] if found else None
         common = self._ancestors(a) & self._ancestors(b)
         return min(common, key=lambda c: (-self.store.commit(c).generation, c), default=None)
 
@@ -175,6 +197,10 @@ class Repository:
         name = ref or self.branch_name
         found = self.store.ref(name)
         at = found[0] if found else self.resolve(name)
+        if at and self._long():
+            commits = self.store.commits()
+            rows = graph.first_parent_log(commits, self._ids(at)).select("id", "distance").join(commits, "id").orderBy("distance").drop("distance")
+            return [Commit(**{**r.asDict(), "parents": tuple(r["parents"])}) for r in rows.toLocalIterator()]
         out = []
         while at:
             out.append(self.store.commit(at))
@@ -553,11 +579,14 @@ class Repository:
         own = [("commit", c) for c in ids] + [("tree", t) for t in sorted({self.store.commit(c).tree for c in ids})]
         return graph.leaf_objects(self._trees(ids)).unionByName(self.spark.createDataFrame(own, "kind string, id string"))
 
-    def gc(self, dry_run: bool = True) -> dict[str, tuple[int, int]]:
-        """Reachable and orphaned objects of each kind; without dry_run orphans are deleted."""
+    def gc(self, dry_run: bool = True, grace: float = GRACE) -> dict[str, tuple[int, int]]:
+        """Reachable and orphaned objects of each kind; without dry_run orphans are deleted. Then what was written in the last
+        `grace` seconds is neither counted nor touched, as a writer may be about to refer to it."""
+        before = time.time_ns() - int(grace * 1e9) if grace and not dry_run else None
+        # Objects are listed before the refs are read: what a writer links meanwhile is among the live ones.
+        stored = materialize(self.store.objects(before), "stored")
         heads = [r[0] for b in self.store.branches() if (r := self.store.ref(b)) and r[0]]
         live = materialize(self._objects(self._ancestors(*heads)), "live")
-        stored = materialize(self.store.objects(), "stored")
         counts = {r["kind"]: (r["reachable"], r["orphaned"]) for r in graph.gc_report(stored, live).collect()}
         if not dry_run:
             dead = materialize(graph.orphans(stored, live), "orphans")
@@ -570,15 +599,16 @@ class Repository:
 
             dead.filter("kind = 'blob'").foreachPartition(delete)
             for r in dead.filter("kind in ('commit', 'tree')").toLocalIterator():
-                self.store.delete(*(("commits", f"{r['id']}.json") if r["kind"] == "commit" else ("snapshots", r["id"])))
+                for path in [("commits", f"{r['id']}.json")] if r["kind"] == "commit" else [(k, r["id"]) for k in ("snapshots", "directories", "manifests")]:
+                    self.store.delete(*path)
             gone = dead.filter("kind = 'footer'").select(F.col("id").alias("footer"))
             if not gone.isEmpty():
-                kept = materialize(self.store.footers().join(gone, "footer", "left_anti"), "footers")
-                kept.write.mode("overwrite").parquet(self.store.url("footers"))
+                self.store.forget_footers(gone)
         return counts
 
-    def _send(self, target: Repository, commit_ids: list[str]) -> int:
-        """Copies what target lacks of commits: blobs, footers and snapshots first, then commits, oldest first."""
+    def _send(self, target: Repository, commit_ids: list[str], progress: Progress) -> int:
+        """Copies what target lacks of commits: blobs, footers and snapshots first, then commits, oldest first. progress is
+        told of each kind of object and how many were sent."""
         needed = materialize(graph.transfer_plan(self._objects(commit_ids), target.store.objects()), "plan")
         blobs = needed.filter("kind = 'blob'")
         at = lambda store: F.concat(F.lit(store.url("blobs") + "/"), F.left("id", F.lit(2)), F.lit("/"), F.substring("id", 3, 64))
@@ -589,17 +619,26 @@ class Repository:
         missing = needed.filter("kind = 'footer'").select(F.col("id").alias("footer"))
         if not missing.isEmpty():
             self.store.footers().join(missing, "footer", "left_semi").write.mode("append").parquet(target.store.url("footers"))
-        for r in needed.filter("kind = 'tree'").collect():
-            names = [x for x in self.store.names("snapshots", r["id"]) if x != "_SUCCESS"]
-            pairs = [(self.store.url("snapshots", r["id"], x), target.store.url("snapshots", r["id"], x)) for x in names]
+        progress("blob", n)
+        trees = [(kind, r["id"]) for r in needed.filter("kind = 'tree'").toLocalIterator() for kind in ("directories", "snapshots")]
+        files = [(*t, x) for t in trees for x in self.store.names(*t) if x != "_SUCCESS"]
+        if files:
+            pairs = [(self.store.url(*f), target.store.url(*f)) for f in files]
             sources.copy_objects(self.spark.createDataFrame(pairs, "source string, target string")).foreachPartition(_exhaust)
-            target.store.write(b"", "snapshots", r["id"], "_SUCCESS")
+        for t in trees:
+            if "_SUCCESS" in self.store.names(*t):
+                target.store.write(b"", *t, "_SUCCESS")
+        progress("tree", len(trees) // 2)
         for c in sorted((self.store.commit(c) for c in commit_ids), key=lambda c: c.generation):
             target.store.put_commit(c)
+        progress("commit", len(commit_ids))
         return n
 
     def _missing_commits(self, target: Repository, head: str) -> list[str]:
         """Commits that head needs and target lacks. A commit that is there has all its ancestors there."""
+        if self._long():
+            rows = graph.commits_to_push(self.store.commits(), self._ids(head), target.store.commits())
+            return [r["id"] for r in rows.orderBy("generation", "id").toLocalIterator()]
         found, work = set(), [head]
         while work:
             one = work.pop()
@@ -608,7 +647,7 @@ class Repository:
                 work += self.store.commit(one).parents
         return sorted(found, key=lambda c: self.store.commit(c).generation)
 
-    def push(self, remote: Repository, branch: str | None = None) -> SyncResult:
+    def push(self, remote: Repository, branch: str | None = None, progress: Progress = lambda kind, n: None) -> SyncResult:
         """Sends a branch to another repository; its branch must be behind ours, which is checked before copying."""
         name = branch or self.branch_name
         head = self.resolve(name)
@@ -619,19 +658,19 @@ class Repository:
         if at and not (self.store.has_commit(at) and self.is_ancestor(at, head)):
             raise NonFastForward(name, at, head)
         wanted = self._missing_commits(remote, head)
-        blobs = self._send(remote, wanted)
+        blobs = self._send(remote, wanted, progress)
         remote._move_ref(name, at, version, head, "push")
         return SyncResult(name, head, len(wanted), blobs, True)
 
-    def fetch(self, remote: Repository, branch: str | None = None) -> SyncResult:
+    def fetch(self, remote: Repository, branch: str | None = None, progress: Progress = lambda kind, n: None) -> SyncResult:
         """Copies a remote branch's commits and what they need here. No branch moves."""
         name = branch or self.branch_name
         head = remote.resolve(name)
         wanted = remote._missing_commits(self, head)
-        blobs = remote._send(self, wanted) if wanted else 0
+        blobs = remote._send(self, wanted, progress) if wanted else 0
         return SyncResult(name, head, len(wanted), blobs, False)
 
-    def pull(self, remote: Repository, branch: str | None = None) -> SyncResult:
+    def pull(self, remote: Repository, branch: str | None = None, progress: Progress = lambda kind, n: None) -> SyncResult:
         """Fetches, and moves our branch forward to the remote's commit."""
         name = branch or self.branch_name
         head = remote.resolve(name)
@@ -642,19 +681,28 @@ class Repository:
             if self.store.has_commit(head) and self.is_ancestor(head, at):
                 return SyncResult(name, at, 0, 0, False)
             raise NonFastForward(name, at, head)
-        got = self.fetch(remote, name)
+        got = self.fetch(remote, name, progress)
         return SyncResult(name, head, got.commits, got.blobs, self.fast_forward(name, head, "pull"))
 
-    def transfer_commands(self, target: str, ref: str | None = None) -> DataFrame:
-        """command: lines that copy the blobs, snapshot and commit of a ref. They are for people; none is run here."""
+    def transfer_commands(self, target: str, ref: str | None = None, download: bool = False, metadata: bool = True) -> DataFrame:
+        """command: lines that copy the blobs of a ref, and with metadata its snapshot, statistics and commit, to another
+        store, or from there. They are for people; none is run here."""
         commit_id = self.resolve(ref)
         tree = self.store.commit(commit_id).tree
         objects = graph.leaf_objects(self._committed(ref)).filter("kind = 'blob'")
         path = F.concat(F.lit("blobs/"), F.left("id", F.lit(2)), F.lit("/"), F.substring("id", 3, 64))
         names = [f"snapshots/{tree}/{n}" for n in self.store.names("snapshots", tree)] + [f"footers/{n}" for n in self.store.names("footers")] + [f"commits/{commit_id}.json"]
-        every = objects.select(path.alias("p")).unionByName(self.spark.createDataFrame([(n,) for n in names], "p string"))
-        here, there = self.store.url(), target.rstrip("/") + "/"
-        return every.select(F.concat(F.lit(f"cp '{here}"), "p", F.lit(f"' '{there}"), "p", F.lit("'")).alias("command")).orderBy("command")
+        names += [f"directories/{tree}/{n}" for n in self.store.names("directories", tree)]
+        every = objects.select(path.alias("p"))
+        if metadata:
+            every = every.unionByName(self.spark.createDataFrame([(n,) for n in names], "p string"))
+        sides = [self.store.url().rstrip("/") + "/", target.rstrip("/") + "/"]
+        source, sink = reversed(sides) if download else sides
+        return every.select(F.concat(F.lit(f"cp '{source}"), "p", F.lit(f"' '{sink}"), "p", F.lit("'")).alias("command")).orderBy("command")
+
+    def export_manifest(self, ref: str | None = None) -> str:
+        """The URI of a ref's manifest as text; written once for each snapshot."""
+        return self.store.manifest(self.store.commit(self.resolve(ref)).tree)
 
     # Queries
 
@@ -665,8 +713,9 @@ class Repository:
         return row_group_stats(self.store.footers())
 
     def prune(self, ref: str | None, prefix: str, where: str) -> DataFrame:
-        """PRUNE rows of the entries below a path prefix that have statistics."""
-        return prune.planned(self._committed(ref), self.statistics(), prefix, prune.parse_where(where))
+        """PRUNE rows of the entries below a path prefix that have statistics, with the columns that could be used and those
+        that couldn't."""
+        return prune.report(self._committed(ref), self.statistics(), prefix, prune.parse_where(where))
 
     def scan(self, ref: str | None, prefix: str, where: str) -> DataFrame:
         """The matching rows of the parquet files below a prefix; files that can't match aren't opened."""

@@ -19,14 +19,31 @@ from pyspark.sql import functions as F
 #: The folder that a repository keeps below its root; no listing enters it.
 META_DIR = ".strata"
 CHUNK = 1 << 20
+#: Directories that tasks walk, about.
+SEEDS = 256
 LISTING = pa.schema([("path", pa.string()), ("source_uri", pa.string()), ("size", pa.int64()), ("mtime_ns", pa.int64())])
 LISTING_DDL = "path string, source_uri string, size long, mtime_ns long"
 
 
+#: One object store, two names of its scheme: Arrow's file systems take the first, Hadoop's the second.
+ARROW_SCHEME, HADOOP_SCHEME = "s3", "s3a"
+
+
+def hadoop_uri(uri: str) -> str:
+    """uri as Spark's readers and writers take it."""
+    scheme, sep, rest = uri.partition("://")
+    return f"{HADOOP_SCHEME}://{rest}" if sep and scheme == ARROW_SCHEME else uri
+
+
 def open_fs(uri: str) -> tuple[pafs.FileSystem, str]:
-    """The file system and path of a URI or local path."""
-    if "://" not in uri and not uri.startswith("file:"):
+    """The file system and path of a URI or local path. An S3 endpoint of one's own is named by AWS_ENDPOINT_URL, which
+    Arrow reads where the file system is opened, on the driver and in tasks."""
+    scheme, sep, rest = uri.partition("://")
+    if not sep and not uri.startswith("file:"):
         return pafs.LocalFileSystem(), os.path.abspath(uri)
+    if scheme in (ARROW_SCHEME, HADOOP_SCHEME):
+        endpoint = os.environ.get("AWS_ENDPOINT_URL")
+        return pafs.S3FileSystem(**({"endpoint_override": endpoint} if endpoint else {})), rest
     return pafs.FileSystem.from_uri(uri)
 
 
@@ -47,7 +64,7 @@ def describe(uri: str) -> tuple[int, int]:
     return info.size, info.mtime_ns or 0
 
 
-def _local(top: str, start: str) -> Iterator[tuple[str, str, int, int]]:
+def _local(top: str, start: str, deep: bool = True) -> Iterator[tuple[str, str, int, int]]:
     """Regular files below start, sorted by name in each directory; without links, what can't be read, and META_DIR."""
     try:
         found = sorted(os.scandir(start), key=lambda e: e.name)
@@ -58,7 +75,7 @@ def _local(top: str, start: str) -> Iterator[tuple[str, str, int, int]]:
             if e.is_symlink():
                 continue
             if e.is_dir():
-                if e.name != META_DIR:
+                if e.name != META_DIR and deep:
                     yield from _local(top, e.path)
                 continue
             info = e.stat(follow_symlinks=False)
@@ -68,15 +85,15 @@ def _local(top: str, start: str) -> Iterator[tuple[str, str, int, int]]:
             yield os.path.relpath(e.path, top).replace(os.sep, "/"), e.path, info.st_size, info.st_mtime_ns
 
 
-def walk(root: str, start: str | None = None) -> Iterator[tuple[str, str, int, int]]:
-    """path (relative to root), source_uri, size, mtime_ns of each file below start."""
+def walk(root: str, start: str | None = None, deep: bool = True) -> Iterator[tuple[str, str, int, int]]:
+    """path (relative to root), source_uri, size, mtime_ns of each file below start, or directly in it."""
     fs, top = open_fs(root)
     begin = open_fs(start)[1] if start else top
     if isinstance(fs, pafs.LocalFileSystem):
-        yield from ((p, f"file://{full}", n, t) for p, full, n, t in _local(top, begin))
+        yield from ((p, f"file://{full}", n, t) for p, full, n, t in _local(top, begin, deep))
         return
     base = root.rstrip("/")
-    for info in sorted(fs.get_file_info(pafs.FileSelector(begin, recursive=True)), key=lambda i: i.path):
+    for info in sorted(fs.get_file_info(pafs.FileSelector(begin, recursive=deep)), key=lambda i: i.path):
         path = info.path[len(top.rstrip("/")) + 1 :]
         # Object stores list directory markers as files of no size.
         if info.type == pafs.FileType.File and META_DIR not in path.split("/") and not (info.path.endswith("/") and not info.size):
@@ -94,22 +111,34 @@ def _batches(rows: Iterator[tuple], schema: pa.Schema, size: int = 4096) -> Iter
         yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*part), schema)], schema=schema)
 
 
+def _folders(fs: pafs.FileSystem, path: str) -> list[str]:
+    """The directories directly in a directory, without links and META_DIR."""
+    local = isinstance(fs, pafs.LocalFileSystem)
+    try:
+        infos = fs.get_file_info(pafs.FileSelector(path, allow_not_found=True))
+    except OSError:  # one that can't be read has nothing to list
+        return []
+    return [i.path for i in infos if i.type == pafs.FileType.Directory and i.base_name != META_DIR and not (local and os.path.islink(i.path))]
+
+
 def list_files(spark: SparkSession, root: str) -> DataFrame:
-    """A row for each file below root. Top-level directories are walked by separate tasks."""
+    """A row for each file below root. Directories are walked by tasks: the driver opens them, from the top and breadth
+    first, until there are SEEDS to walk or it has opened as many, so a single folder on top is no single task."""
     fs, top = open_fs(root)
-    infos = fs.get_file_info(pafs.FileSelector(top, allow_not_found=True))
-    local = isinstance(fs, pafs.LocalFileSystem)
-    dirs = [i.path for i in infos if i.type == pafs.FileType.Directory and i.base_name != META_DIR and not (local and os.path.islink(i.path))]
-    prefix = "" if local else root.split("://")[0] + "://"
-    files = [(i.base_name, f"file://{i.path}" if local else prefix + i.path, i.size, i.mtime_ns or 0) for i in infos if i.type == pafs.FileType.File and not (local and os.path.islink(i.path))]
-    seeds = spark.createDataFrame([(prefix + d,) for d in dirs], "start string").repartition(max(1, min(len(dirs), 1024)))
+    prefix = "" if isinstance(fs, pafs.LocalFileSystem) else root.split("://")[0] + "://"
+    opened, waiting = [], [top]
+    while waiting and len(waiting) < SEEDS and len(opened) < SEEDS:
+        opened.append(waiting.pop(0))
+        waiting += _folders(fs, opened[-1])
+    starts = [(prefix + d, False) for d in opened] + [(prefix + d, True) for d in waiting]
+    seeds = spark.createDataFrame(starts, "start string, deep boolean").repartition(len(starts))
 
     def run(batches):
         for batch in batches:
-            for start in batch.column(0).to_pylist():
-                yield from _batches(walk(root, start), LISTING)
+            for start, deep in zip(*(c.to_pylist() for c in batch.columns)):
+                yield from _batches(walk(root, start, deep), LISTING)
 
-    return seeds.mapInArrow(run, LISTING_DDL).unionByName(spark.createDataFrame(files, LISTING_DDL))
+    return seeds.mapInArrow(run, LISTING_DDL)
 
 
 def digest_stream(stream, new: Callable = hashlib.sha256) -> tuple[str, int]:

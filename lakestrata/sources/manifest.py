@@ -8,7 +8,9 @@
 
 from __future__ import annotations
 
+import io
 import json
+from urllib.parse import unquote
 
 import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -40,8 +42,8 @@ def write(entries: DataFrame, path: str) -> None:
     entries.repartitionByRange("path").sortWithinPartitions("path").select(line(entries).alias("value")).write.text(path)
 
 
-def parse(lines: DataFrame) -> DataFrame:
-    """ENTRY columns and `corrupt`, which is null for good lines and else holds the line, of rows with `value`."""
+def parse(lines: DataFrame, *more: str) -> DataFrame:
+    """ENTRY columns and `corrupt`, which is null for good lines and else holds the line, of rows with `value`; and more."""
     a = F.from_json("value", "array<string>")
     tag, n = F.try_element_at(a, F.lit(1)), F.size(a)
     size = F.create_map(*(F.lit(x) for pair in {"b": 5, "bp": 6, "m": 6, "mp": 7}.items() for x in pair))
@@ -52,18 +54,28 @@ def parse(lines: DataFrame) -> DataFrame:
     return lines.select(
         at(2).alias("path"), at(3).alias("hash"), number(4).alias("size"), number(5).alias("mtime_ns"), F.when(meta, META).otherwise(CONTENT).alias("identity_mode"),
         F.when(~meta, at(3)).alias("blob_hash"), F.when(meta, at(6)).alias("source_uri"), F.when(tag == "bp", at(6)).when(tag == "mp", at(7)).alias("footer"),
-        F.when(~good, F.col("value")).alias("corrupt"),
+        F.when(~good, F.col("value")).alias("corrupt"), *more,
     )
 
 
+def _line_number(uri: str, text: str) -> int | None:
+    """Where a line stands in a file, counted from 1."""
+    fs, path = open_fs(unquote(uri))
+    with fs.open_input_stream(path) as f:
+        lines = io.TextIOWrapper(f, "utf-8", "replace", newline="\n")
+        return next((n for n, line_ in enumerate(lines, 1) if line_.rstrip("\r\n") == text), None)
+
+
 def read(spark: SparkSession, path: str, strict: bool = True) -> DataFrame:
-    """The entries of manifest files. With strict a corrupt line is an error that names its file; else see `corrupt`."""
-    lines = spark.read.text(path).select("value", F.col("_metadata.file_name").alias("file")).filter(F.trim("value") != "")
+    """The entries of manifest files. With strict all lines are checked first, and a corrupt one is an error that names its
+    file and line number; else see `corrupt`."""
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file")).filter(F.trim("value") != "")
     if not strict:
         return parse(lines)
-    # The check stands in the path, so no projection prunes it.
-    good = parse(lines).withColumn("path", F.when(F.col("corrupt").isNull(), F.col("path")).otherwise(F.raise_error(F.concat(F.lit("corrupt manifest line: "), "corrupt")).cast("string")))
-    return good.select(ENTRY_COLUMNS)
+    bad = parse(lines, "file").filter("corrupt is not null").select("file", "corrupt").orderBy("file", "corrupt").first()
+    if bad:
+        raise ValueError(f"corrupt manifest line: {bad['file']}:{_line_number(bad['file'], bad['corrupt'])}: {bad['corrupt']}")
+    return parse(lines).select(ENTRY_COLUMNS)
 
 
 def _line_after(f, at: int, size: int) -> tuple[int, bytes]:

@@ -28,7 +28,7 @@ from ..errors import ObjectMissing, OptimisticLock, StorageUnavailable
 from ..functions.paths import directory
 from ..operators import tree
 from ..shared import materialize
-from .files import META_DIR, open_fs
+from .files import META_DIR, hadoop_uri, list_files, open_fs
 from .footers import capture
 
 #: Rows of a snapshot file: small enough that a point lookup reads little.
@@ -57,7 +57,7 @@ class Store:
 
     def url(self, *parts: str) -> str:
         """A URI that Spark's readers and writers take."""
-        base = f"file://{self.root}" if self.local else self.uri
+        base = f"file://{self.root}" if self.local else hadoop_uri(self.uri)
         return "/".join([base, *parts])
 
     def _path(self, *parts: str) -> str:
@@ -97,14 +97,14 @@ class Store:
                 return False
             finally:
                 os.unlink(part)
-        # Hadoop's create without overwriting is exclusive where the file system is (HDFS, or S3A with conditional writes).
+        # A create without overwriting is exclusive on HDFS by itself, and on S3A if the write is asked to be conditional.
         jvm = self.spark._jvm
         target = jvm.org.apache.hadoop.fs.Path(self.url(*parts))
         hadoop = target.getFileSystem(self.spark._jsc.hadoopConfiguration())
         if hadoop.exists(target):
             return False
         try:
-            out = hadoop.create(target, False)
+            out = hadoop.createFile(target).recursive().overwrite(False).opt("fs.option.create.conditional.overwrite", "true").build()
             out.write(bytearray(data))
             out.close()
             return True
@@ -250,17 +250,42 @@ class Store:
         except FileNotFoundError as e:
             raise ObjectMissing(f"no blob {digest}") from e
 
-    def objects(self) -> DataFrame:
-        """kind, id of every stored object. Blobs are listed by tasks, a directory each."""
-        from .files import list_files
-
-        small = [("commit", n.removesuffix(".json")) for n in self.names("commits")] + [("tree", n) for n in self.names("snapshots")]
-        out = self.spark.createDataFrame(small, "kind string, id string").unionByName(self.footers().select(F.lit("footer").alias("kind"), F.col("footer").alias("id")).distinct())
+    def objects(self, before_ns: int | None = None) -> DataFrame:
+        """kind, id of every stored object; with before_ns, of those written before that time. Blobs are listed by tasks."""
+        old = lambda t: before_ns is None or (t or 0) < before_ns
+        listed = lambda part: [i for i in self.fs.get_file_info(pafs.FileSelector(self._path(part), allow_not_found=True)) if not i.base_name.endswith(".part") and old(i.mtime_ns)]
+        small = [("commit", i.base_name.removesuffix(".json")) for i in listed("commits")] + [("tree", i.base_name) for i in listed("snapshots")]
+        footers = self.footers()
+        if before_ns is not None and self.names("footers"):
+            written = F.unix_micros("_metadata.file_modification_time") * 1000
+            footers = self.spark.read.schema(schema.FOOTER).parquet(self.url("footers")).groupBy("footer").agg(F.max(written).alias("at")).filter(F.col("at") < before_ns)
+        out = self.spark.createDataFrame(small, "kind string, id string").unionByName(footers.select(F.lit("footer").alias("kind"), F.col("footer").alias("id")).distinct())
         if not self.names("blobs"):
             return out
         blobs = list_files(self.spark, self.url("blobs").removeprefix("file://") if self.local else self.url("blobs"))
+        blobs = blobs if before_ns is None else blobs.filter(F.col("mtime_ns") < before_ns)
         return out.unionByName(blobs.filter(~F.col("path").endswith(".part")).select(F.lit("blob").alias("kind"), F.regexp_replace("path", "/", "").alias("id")))
 
+    def forget_footers(self, gone: DataFrame) -> None:
+        """Drops statistics (footer). What stays of the files that held them is written first, and the files are deleted
+        then: a crash in between leaves rows twice, which readers take as one, and loses none."""
+        held = self.spark.read.schema(schema.FOOTER).parquet(self.url("footers")).select("*", F.col("_metadata.file_name").alias("file"))
+        touched = materialize(held.join(gone, "footer", "left_semi").select("file").distinct(), "touched")
+        kept = materialize(held.join(touched, "file", "left_semi").join(gone, "footer", "left_anti").select(schema.FOOTER.fieldNames()), "footers")
+        names = [r["file"] for r in touched.toLocalIterator()]
+        kept.write.mode("append").parquet(self.url("footers"))
+        for name in names:
+            self.delete("footers", name)
+
+    def manifest(self, digest: str) -> str:
+        """The URI of a snapshot's manifest, which is written once and kept beside the snapshots."""
+        from . import manifest
+
+        if "_SUCCESS" not in self.names("manifests", digest):
+            self.delete("manifests", digest)
+            manifest.write(self.entries(digest), self.url("manifests", digest))
+        return self.url("manifests", digest)
+
     # This client's state
 
     def head(self) -> str | None:

@@ -201,7 +201,7 @@ def test_manifest_lines(spark, tmp_path):
     (tmp_path / "bad.txt").write_text('["b","ok","' + "0" * 64 + '",1,2]\n\n{"no"\n["b","short"]\n["m","p","' + "0" * 64 + '","x",2,"u"]\n')
     found = manifest.read(spark, str(tmp_path / "bad.txt"), strict=False)
     assert found.filter("corrupt is null").count() == 1 and found.filter("corrupt is not null").count() == 3
-    with pytest.raises(Exception, match="corrupt manifest line"):
+    with pytest.raises(ValueError, match=r"corrupt manifest line: .*bad\.txt:[346]: "):
         manifest.read(spark, str(tmp_path / "bad.txt")).collect()
 
 

@@ -233,11 +233,101 @@ def test_gc(repo, root):
     repo.checkout("main")
     repo.store.delete("refs", "heads", "dead")
     assert repo.gc() == {"blob": (1, 1), "commit": (1, 1), "tree": (1, 1)}
-    repo.gc(dry_run=False)
+    assert repo.gc(dry_run=False) == {}  # all is too new
+    assert repo.gc() == {"blob": (1, 1), "commit": (1, 1), "tree": (1, 1)}
+    repo.gc(dry_run=False, grace=0)
     assert repo.gc() == {"blob": (1, 0), "commit": (1, 0), "tree": (1, 0)}
     assert repo.cat("a.txt") == b"alpha"
 
 
+def test_gc_of_statistics_keeps_the_rest(spark, repo, root):
+    repo.set_config("parquet_footer", "true")
+    table = lambda name, n: pq.write_table(pa.table({"x": list(range(n))}), root / name)
+    root.mkdir(exist_ok=True)
+    table("a.parquet", 3)
+    first = repo.commit("one")
+    table("b.parquet", 5)
+    repo.commit("two")
+    _, version = repo.store.ref("main")
+    repo.store.set_ref("main", first, version)
+    assert repo.gc()["footer"] == (1, 1)
+    repo.gc(dry_run=False, grace=0)
+    assert repo.gc()["footer"] == (1, 0) and repo.store.footers().count() == 1
+    report = repo.prune("main", "", "x > 9 AND nope = 1 AND x < 100").collect()
+    assert [(r["kept"], r["pruned"], r["applicable"], r["inapplicable"]) for r in report] == [([], [0], ["x", "x"], ["nope"])]
+
+
+def test_listing_of_one_deep_folder_has_many_tasks(spark, tmp_path):
+    for i in range(12):
+        put(tmp_path / "only" / "one" / f"d{i}", f_txt="x")
+    put(tmp_path / "only", g_txt="x")
+    found = list_files(spark, str(tmp_path))
+    assert found.count() == 13 and found.rdd.getNumPartitions() >= 12
+    assert list_files(spark, str(tmp_path / "only" / "one" / "d3")).count() == 1
+
+
+def test_long_histories_are_read_as_a_table(repo, monkeypatch):
+    from lakestrata import repository
+
+    tree = repo.store.put_tree(repo.store.empty())
+    ids = []
+    for i in range(12):
+        ids.append(repo._commit_tree(tree, f"c{i}", ids[-1:], "main"))
+    side = repo._commit_tree(tree, "side", [ids[5]], "side")
+    top = repo._commit_tree(tree, "top", [ids[-1], side], "main")
+    ask = lambda: ([c.id for c in repo.log(top)], repo.is_ancestor(ids[2], top), repo.is_ancestor(side, ids[-1]), repo.merge_base(side, ids[-1]), repo._ancestors(side))
+    walked = ask()
+    assert walked == ([top, *reversed(ids)], True, False, ids[5], {side, *ids[:6]})
+    monkeypatch.setattr(repository, "WALKED", 3)
+    assert ask() == walked
+
+
+def test_manifest_of_a_ref_is_kept(repo, root):
+    from lakestrata.sources import manifest
+
+    put(root, a_txt="alpha", d__b_txt="beta")
+    repo.commit("one")
+    uri = repo.export_manifest()
+    assert repo.export_manifest("main") == uri and manifest.lookup(uri, "d/b.txt") and manifest.lookup(uri, "c") is None
+    assert manifest.read(repo.spark, uri).count() == 2
+
+
+def test_diff_reads_changed_directories_only(repo, root, monkeypatch):
+    from lakestrata.operators import diff
+
+    put(root, a_txt="alpha", same__b_txt="beta", gone__c_txt="gamma")
+    first = repo.commit("one")
+    put(root, a_txt="alpha2", new__d_txt="delta")
+    repo.commit("two")
+    second = repo.remove_paths(["gone"], "three")
+    want = [("a.txt", "modified"), ("gone/c.txt", "removed"), ("new/d.txt", "added")]
+    asked = lambda: [(r["path"], r["change"]) for r in repo.diff(first, second).collect()]
+    assert asked() == want and repo.diff(first, first).count() == 0
+    monkeypatch.setattr(diff, "NAMED", 1)
+    assert asked() == want
+    repo.store.delete("directories", repo.store.commit(first).tree)
+    assert asked() == want
+
+
+def test_object_store_names():
+    from lakestrata.sources.files import hadoop_uri, open_fs
+
+    assert hadoop_uri("s3://b/k") == "s3a://b/k" and hadoop_uri("hdfs://h/k") == "hdfs://h/k" and hadoop_uri("/local") == "/local"
+    for scheme in ("s3", "s3a"):
+        fs, path = open_fs(f"{scheme}://bucket/some/key")
+        assert fs.type_name == "s3" and path == "bucket/some/key"
+
+
+def test_no_local_folder_on_a_cluster(spark, monkeypatch):
+    from types import SimpleNamespace
+
+    from lakestrata.shared import shared_dir
+
+    conf = SimpleNamespace(get=lambda *_: None)
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared_dir(SimpleNamespace(conf=conf, sparkContext=SimpleNamespace(master="yarn")))
+
+
 def test_push_fetch_pull(spark, repo, root, tmp_path):
     put(root, a_txt="alpha")
     repo.commit("one")
@@ -259,6 +349,12 @@ def test_push_fetch_pull(spark, repo, root, tmp_path):
         repo.pull(remote)
     lines = [r["command"] for r in repo.transfer_commands("s3://b/x").collect()]
     assert any("blobs/" in x for x in lines) and any("commits/" in x for x in lines)
+    back = [r["command"] for r in repo.transfer_commands("s3://b/x", download=True, metadata=False).collect()]
+    assert back and all(x.startswith("cp 's3://b/x/blobs/") for x in back)
+    seen = []
+    other = Repository.init(spark, str(tmp_path / "other"))
+    repo.push(other, progress=lambda kind, n: seen.append((kind, n)))
+    assert seen == [("blob", 2), ("tree", 2), ("commit", 2)] and other.store.directories(repo.store.commit(repo.resolve()).tree) is not None
 
 
 def test_import_with_filters(repo, tmp_path):
