@@ -87,13 +87,14 @@ def _folded_rows(rows: Iterable[tuple[str, str, str]]) -> dict[str, str]:
     return found
 
 
-def folded(shards: DataFrame, max_depth: int) -> DataFrame:
+def folded(shards: DataFrame, max_depth: int, few: int | None = None) -> DataFrame:
     """dir, digest of each directory with all below it, from its files' shards. Up to FEW shards are folded by the driver,
     which spares a job for each level. More are folded level by level: shards is read once for each, and levels are
     written out LEVELS at a time, so the plan grows with neither the depth nor the number of directories."""
-    few = shards.select("dir", "shard", "digest").limit(FEW + 1).toArrow()
-    if few.num_rows <= FEW:
-        rows = _folded_rows(zip(*(c.to_pylist() for c in few.columns))) if few.num_rows else {}
+    few = FEW if few is None else few
+    table = shards.select("dir", "shard", "digest").limit(few + 1).toArrow()
+    if table.num_rows <= few:
+        rows = _folded_rows(zip(*(c.to_pylist() for c in table.columns))) if table.num_rows else {}
         return shards.sparkSession.createDataFrame(list(rows.items()), "dir string, digest string")
     found, below = [], None
     for top in range(max_depth, -1, -LEVELS):

@@ -2,16 +2,53 @@
 
 from __future__ import annotations
 
+import os
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.identity import content_hash, meta_hash
+from ..shared import shared_dir
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Refs of the repository below: snapshots base and ours, and a branch with a staged removal.
+FIRST, SECOND, STAGED = "base", "ours", "staged"
+_repositories: dict[tuple, object] = {}
+
+
+def place(spark: SparkSession, label: str) -> str:
+    """A new local path of the shared folder."""
+    return f"{shared_dir(spark).removeprefix('file://')}/{label}-{uuid.uuid4().hex}"
+
+
+def repository(spark: SparkSession, sf_dir: str):
+    """A repository whose main branch has nothing, base, ours, and ours again; made once for a session and folder."""
+    from ..repository import Repository
+
+    key = spark.sparkContext.applicationId, sf_dir
+    if key not in _repositories or not os.path.isdir(_repositories[key].root):
+        repo = Repository.init(spark, place(spark, "repository"))
+        for message, rows, name in (("nothing", None, None), ("all", base(spark, sf_dir), FIRST), ("edits", ours(spark, sf_dir), SECOND)):
+            repo._commit_entries(repo.store.empty() if rows is None else rows, message, "commit")
+            if name:
+                repo.branch(name)
+        repo.branch("side")
+        repo.branch(STAGED)
+        repo.checkout(STAGED)
+        repo.rm(["src1"])
+        repo.checkout("side")
+        repo._commit_entries(ours(spark, sf_dir), "more", "commit")
+        repo.checkout("main")
+        repo.merge("side")
+        _repositories[key] = repo
+    return _repositories[key]
+
+
 def _path():
     return F.concat(F.col("source"), F.lit("/"), F.col("lang"), F.lit("/"), F.lpad(F.col("doc_id").cast("string"), 8, "0"), F.lit(".txt"))
 

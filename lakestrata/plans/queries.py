@@ -6,13 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from .. import schema
 from ..functions.identity import meta_hash
 from ..functions.paths import basename, directory, glob_regex, relative_key
 from ..operators import diff, graph, merge, prune, snapshot, tree
-from ..sources import manifest
+from ..sources import footers, manifest
 from . import catalog
 from . import fixtures as fx
 
@@ -75,6 +74,12 @@ def _(spark, sf):
     return pages.filter("rel is not null")
 
 
+@query("s3_key_below_prefix", fx.sql("base", body="SELECT path AS key, path AS rel FROM base"))
+def _(spark, sf):
+    key = F.concat(F.lit("bucket/prefix/"), "path")
+    return fx.base(spark, sf).select(F.col("path").alias("key"), relative_key(key, F.lit(1), "/bucket/prefix/").alias("rel"))
+
+
 @query("snapshot_validate", fx.sql("base", body="SELECT path, 'numbers' AS rule FROM base WHERE mtime_ns % 7 = 0 UNION ALL SELECT '/' || path, 'path' FROM base WHERE mtime_ns % 7 = 1 UNION ALL SELECT path, 'digests' FROM base WHERE mtime_ns % 7 = 2 UNION ALL SELECT path, 'blob' FROM base WHERE mtime_ns % 7 = 2 UNION ALL SELECT path, 'meta' FROM base WHERE mtime_ns % 7 = 3 UNION ALL SELECT 'same', 'unique' FROM base WHERE mtime_ns % 7 = 4 GROUP BY 1 HAVING count(*) > 1"))
 def _(spark, sf):
     kind = F.col("mtime_ns") % 7
@@ -133,9 +138,9 @@ def _(spark, sf):
     return snapshot.move_staged(fx.base(spark, sf), "src4", "moved")
 
 
-@query("stage_upsert", fx.sql("base", "additions", body="SELECT path, hash FROM base WHERE starts_with(path, 'src1') AND path NOT IN (SELECT path FROM additions) UNION ALL SELECT path, hash FROM additions"))
+@query("stage_upsert", fx.sql("base", "additions", body="SELECT path, hash FROM base WHERE path NOT IN (SELECT path FROM additions) UNION ALL SELECT path, hash FROM additions"))
 def _(spark, sf):
-    first = snapshot.with_prefix(fx.base(spark, sf), "src1").select("path", "hash")
+    first = fx.base(spark, sf).select("path", "hash")
     return snapshot.upsert(first, fx.staged_additions(spark, sf).select("path", "hash"))
 
 
@@ -207,24 +212,53 @@ def _(spark, sf):
     return snapshot.distinct_blobs(fx.base(spark, sf))
 
 
-# Directory digests. The SQL repeats the two levels; DuckDB lacks crc32, so that a shard is checked by the sharded query's
-# own rows: their count and their files.
+# Directory digests, with shards and all.
+
+
+def _shards(lines: str, kind: str) -> str:
+    """SQL of dir, shard, digest from dir, name, line."""
+    return f"SELECT dir, '{kind}' || left(sha256(name), 2) AS shard, sha256(string_agg(line, chr(10) ORDER BY line)) AS digest FROM ({lines}) GROUP BY ALL"
+
+
+def _whole(shards: str) -> str:
+    return f"SELECT dir, sha256(string_agg(shard || ' ' || digest, chr(10) ORDER BY shard)) AS digest FROM ({shards}) GROUP BY dir"
+
+
+def _lines(entries: str) -> str:
+    return f"SELECT {_DIRECTORY} AS dir, {_NAME} AS name, {_NAME} || chr(9) || identity_mode || chr(9) || hash || chr(9) || CAST(size AS VARCHAR) || chr(9) || coalesce(blob_hash, '-') || chr(9) || coalesce(source_uri, '-') || chr(9) || coalesce(footer, '-') AS line FROM {entries}"
+
+
+def _parents(below: str) -> str:
+    return f"SELECT CASE WHEN contains(dir, '/') THEN regexp_replace(dir, '/[^/]*$', '') ELSE '' END AS dir, regexp_extract(dir, '[^/]*$') AS name, regexp_extract(dir, '[^/]*$') || chr(9) || digest AS line FROM {below}"
+
+
+_DIRECTORY, _NAME = "regexp_replace(path, '/[^/]*$', '')", "regexp_extract(path, '[^/]*$')"
+
 
+def _merkle(entries: str) -> str:
+    """SQL of a tree whose files all lie two directories below the root."""
+    two, one, root = _whole(_shards(_lines(entries), "f")), _whole(_shards(_parents("two"), "d")), _whole(_shards(_parents("one"), "d"))
+    return f", two AS ({two}), one AS ({one}), root AS ({root}), digests AS (SELECT * FROM two UNION ALL SELECT * FROM one UNION ALL SELECT * FROM root)"
 
-@query("dir_digest", fx.sql("base", body="SELECT dir, sha256(string_agg(line, chr(10) ORDER BY line)) AS digest FROM (SELECT regexp_replace(path, '/[^/]*$', '') AS dir, regexp_extract(path, '[^/]*$') || chr(9) || identity_mode || chr(9) || hash || chr(9) || CAST(size AS VARCHAR) || chr(9) || blob_hash || chr(9) || '-' || chr(9) || '-' AS line FROM base) GROUP BY dir"))
+
+@query("dir_digest", fx.sql("base", body=_whole(_shards(_lines("base"), "f"))))
+def _(spark, sf):
+    return tree.directory_digests(fx.base(spark, sf))
+
+
+@query("merkle_digests", fx.sql("half_meta", body=_merkle("half_meta") + " SELECT dir, digest FROM digests"))
 def _(spark, sf):
-    lines = tree.file_lines(fx.base(spark, sf))
-    return lines.groupBy("dir").agg(F.sha2(F.array_join(F.sort_array(F.collect_list("line")), "\n"), 256).alias("digest"))
+    return tree.merkle(fx.half_meta(spark, sf), 2)
 
 
-@query("merkle_digests")
+@query("merkle_digests_by_level", fx.sql("base", body=_merkle("base") + " SELECT dir, digest FROM digests"))
 def _(spark, sf):
-    return tree.merkle(fx.base(spark, sf), 2)
+    return tree.folded(tree.file_shards(fx.base(spark, sf)).drop("repeats"), 2, few=0)
 
 
-@query("tree_nodes", fx.sql("half_meta", body="SELECT regexp_extract(path, '[^/]*$') AS name, CASE WHEN identity_mode = 'meta' THEN 'm' ELSE 'b' END AS kind, size FROM half_meta UNION ALL SELECT regexp_extract(d, '[^/]*$'), 't', NULL FROM (SELECT DISTINCT regexp_replace(path, '/[^/]*$', '') AS d FROM half_meta UNION SELECT DISTINCT split_part(path, '/', 1) FROM half_meta)"))
+@query("tree_nodes", fx.sql("half_meta", body=_merkle("half_meta") + f" SELECT DISTINCT tree_hash, name, kind, hash, size, mtime_ns, source_uri, footer FROM (SELECT d.digest AS tree_hash, {_NAME} AS name, CASE WHEN identity_mode = 'meta' THEN 'm' ELSE 'b' END AS kind, hash, size, mtime_ns, source_uri, footer FROM half_meta JOIN digests d ON d.dir = {_DIRECTORY} UNION ALL SELECT up.digest, regexp_extract(d.dir, '[^/]*$'), 't', d.digest, NULL, NULL, NULL, NULL FROM digests d JOIN digests up ON up.dir = CASE WHEN contains(d.dir, '/') THEN regexp_replace(d.dir, '/[^/]*$', '') ELSE '' END WHERE d.dir <> '')"))
 def _(spark, sf):
-    return tree.nodes(fx.half_meta(spark, sf), 2).select("name", "kind", "size")
+    return tree.nodes(fx.half_meta(spark, sf), 2)
 
 
 @query("tree_reachable", fx.sql("base", body="SELECT CAST(1 + count(DISTINCT regexp_replace(path, '/[^/]*$', '')) + count(DISTINCT split_part(path, '/', 1)) AS BIGINT) AS trees FROM base"))
@@ -240,12 +274,6 @@ def _(spark, sf):
     return manifest.parse(entries.select(manifest.line(entries).alias("value"))).drop("corrupt")
 
 
-@query("schema_fingerprint")
-def _(spark, sf):
-    rows = [(t, fx.table(spark, sf, t).schema.json()) for t in ("lineitem", "orders", "events", "documents")]
-    return spark.createDataFrame(rows, "table string, schema string").select("table", F.sha2("schema", 256).alias("fingerprint"))
-
-
 # Pruning
 
 _LANES = "SELECT g, rows, 'l_orderkey' AS col, ok_min AS lo, ok_max AS hi, NULL AS slo, NULL AS shi, 0 AS nulls FROM rg UNION ALL SELECT g, rows, 'l_quantity', q_min, q_max, NULL, NULL, 0 FROM rg UNION ALL SELECT g, rows, 'l_returnflag', NULL, NULL, f_min, f_max, 0 FROM rg UNION ALL SELECT g, rows, 'line', ln_min, ln_max, NULL, NULL, ln_nulls FROM rg"
@@ -363,10 +391,11 @@ def _(spark, sf):
     return graph.transfer_plan(graph.leaf_objects(fx.ours(spark, sf)), graph.leaf_objects(fx.base(spark, sf)))
 
 
-@query("transfer_commands", fx.sql("base", body="SELECT DISTINCT 'cp blobs/' || left(blob_hash, 2) || '/' || substr(blob_hash, 3) || ' remote/blobs/' || left(blob_hash, 2) || '/' || substr(blob_hash, 3) AS command FROM base WHERE starts_with(path, 'src1/')"))
+@query("transfer_commands", fx.sql("base", body="SELECT DISTINCT 'cp blobs/' || left(blob_hash, 2) || '/' || substr(blob_hash, 3) || ' remote/blobs/' || left(blob_hash, 2) || '/' || substr(blob_hash, 3) AS command FROM base "))
 def _(spark, sf):
-    blob = F.concat(F.lit("blobs/"), F.left("blob_hash", F.lit(2)), F.lit("/"), F.substring("blob_hash", 3, 64))
-    return snapshot.within(fx.base(spark, sf), "src1").select(F.format_string("cp %s remote/%s", blob, blob).alias("command")).distinct()
+    repo = fx.repository(spark, sf)
+    lines = repo.transfer_commands("remote", fx.FIRST, metadata=False)
+    return lines.select(F.replace(F.replace("command", F.lit(repo.store.url() + "/"), F.lit("")), F.lit("'"), F.lit("")).alias("command"))
 
 
 @query("commits_to_push", fx.sql("commits", body=_REACH.format("n = 540") + " SELECT CAST(n AS VARCHAR) AS id, CAST(n % 50 AS INTEGER) AS generation FROM reach WHERE n % 50 > 30"))
@@ -445,8 +474,88 @@ def _(spark, sf):
     return _files(spark, sf).agg(F.approx_count_distinct("hash").alias("blobs"), F.approx_percentile("size", 0.5).alias("median"))
 
 
-@query("reflog_latest_first", "SELECT o_custkey AS branch, o_orderkey AS seq, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey DESC) AS place FROM orders")
+# A repository of three snapshots: what its own methods answer.
+
+
+@query("reflog_latest_first", "SELECT * FROM (VALUES (3, 'merge'), (2, 'commit'), (1, 'commit'), (0, 'commit')) t(seq, operation)")
+def _(spark, sf):
+    return fx.repository(spark, sf).reflog("main").select("seq", "operation")
+
+
+@query("repository_log", "SELECT * FROM (VALUES (0, 'more', 3), (1, 'edits', 2), (2, 'all', 1), (3, 'nothing', 0)) t(place, message, generation)")
+def _(spark, sf):
+    commits = fx.repository(spark, sf).log("main")
+    return spark.createDataFrame([(i, c.message, c.generation) for i, c in enumerate(commits)], "place int, message string, generation int")
+
+
+@query("repository_ancestry", "SELECT * FROM (VALUES ('first', 'main', true), ('main', 'first', false), ('side', 'main', true), ('main', 'side', true), ('first', 'side', true)) t(old, new, reaches)")
+def _(spark, sf):
+    repo = fx.repository(spark, sf)
+    pairs = [("first", "main"), ("main", "first"), ("side", "main"), ("main", "side"), ("first", "side")]
+    ids = {"first": fx.FIRST, "main": "main", "side": "side"}
+    return spark.createDataFrame([(a, b, repo.is_ancestor(repo.resolve(ids[a]), repo.resolve(ids[b]))) for a, b in pairs], "old string, new string, reaches boolean")
+
+
+@query("repository_diff", fx.sql("base", "ours", body=_DIFF.format("base", "ours")))
+def _(spark, sf):
+    repo = fx.repository(spark, sf)
+    return repo.diff(fx.FIRST, fx.SECOND)
+
+
+@query("repository_staged", fx.sql("base", "ours", body=f"SELECT {ENTRY} FROM ours WHERE NOT (path = 'src1' OR starts_with(path, 'src1/')) AND starts_with(path, 's')"))
+def _(spark, sf):
+    return fx.repository(spark, sf).entries(fx.STAGED, staged=True, prefix="s")
+
+
+@query("repository_pushed", fx.sql("base", "ours", body=f"SELECT {ENTRY} FROM ours"))
+def _(spark, sf):
+    from ..repository import Repository
+
+    remote = Repository.init(spark, fx.place(spark, "remote"))
+    fx.repository(spark, sf).push(remote, "main")
+    return remote.entries("main")
+
+
+@query("manifest_files", fx.sql("half_meta", body=f"SELECT {ENTRY} FROM half_meta"))
+def _(spark, sf):
+    path = fx.place(spark, "manifest")
+    manifest.write(fx.half_meta(spark, sf), path)
+    return manifest.read(spark, path)
+
+
+@query("versioned_source", fx.sql("base", body=f"SELECT {ENTRY} FROM base WHERE starts_with(path, 'src1')"))
+def _(spark, sf):
+    from ..sources.versioned import VersionedSource
+
+    repo = fx.repository(spark, sf)
+    spark.dataSource.register(VersionedSource)
+    return spark.read.format("strata").option("root", repo.root).option("ref", repo.resolve(fx.FIRST)).load().filter(F.col("path").startswith("src1"))
+
+
+_STATS = ("lineitem", "l_orderkey", "l"), ("lineitem", "l_quantity", "d"), ("orders", "o_orderkey", "l"), ("documents", "doc_id", "l"), ("labels", "toxic", "l")
+
+
+@query("footer_statistics", " UNION ALL ".join(f"SELECT '{t}' AS \"table\", '{c}' AS col, CAST(count(*) AS BIGINT) AS rows, CAST(min({c}) AS DOUBLE) AS least, CAST(max({c}) AS DOUBLE) AS most, CAST(count(*) - count({c}) AS BIGINT) AS nulls FROM {t}" for t, c, _ in _STATS))
+def _(spark, sf):
+    """Statistics that the footers of the tables' own files hold, over all their row groups."""
+    files = None
+    for t in sorted({t for t, _, _ in _STATS}):
+        here = spark.createDataFrame([(f, t) for f in fx.table(spark, sf, t).inputFiles()], "source_uri string, table string")
+        files = here if files is None else files.unionByName(here)
+    found = footers.capture(files).join(files, "source_uri")
+    stats = footers.row_group_stats(found).join(found.select("footer", "table"), "footer")
+    value = lambda m: F.coalesce(F.col(f"{m}_l").cast("double"), F.col(f"{m}_d"))
+    wanted = F.array(*(F.lit(f"{t}.{c}") for t, c, _ in _STATS))
+    return stats.filter(F.array_contains(wanted, F.concat_ws(".", "table", "col"))).groupBy("table", "col").agg(
+        F.sum("rows").alias("rows"), F.min(value("min")).alias("least"), F.max(value("max")).alias("most"), F.sum("nulls").alias("nulls")
+    )
+
+
+@query("schema_fingerprint", " UNION ALL ".join(f"SELECT '{t}' AS \"table\", {n} AS columns, true AS same FROM range(1)" for t, n in (("lineitem", "(SELECT count(*) FROM pragma_table_info('lineitem'))"), ("orders", "(SELECT count(*) FROM pragma_table_info('orders'))"))))
 def _(spark, sf):
-    latest = Window.partitionBy("o_custkey").orderBy(F.desc("o_orderkey"))
-    orders = fx.table(spark, sf, "orders")
-    return orders.select(F.col("o_custkey").alias("branch"), F.col("o_orderkey").alias("seq"), F.row_number().over(latest).cast("long").alias("place"))
+    """Files of one schema have one fingerprint, which the captured names and types give again."""
+    files = spark.createDataFrame([(f, t) for t in ("lineitem", "orders") for f in fx.table(spark, sf, t).inputFiles()], "source_uri string, table string")
+    found = footers.capture(files).join(files, "source_uri")
+    # The fingerprint is that of the names and types as compact JSON.
+    again = F.sha2(F.to_json("schema"), 256)
+    return found.groupBy("table").agg(F.max(F.size("schema")).cast("long").alias("columns"), ((F.count_distinct("schema_hash") == 1) & F.bool_and(F.col("schema_hash") == again)).alias("same"))
