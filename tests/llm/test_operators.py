@@ -396,7 +396,7 @@ def test_simhash_tables_find_what_brute_force_finds(spark):
     assert wanted > 20 and found >= 0.9 * wanted
 
 
-def test_simhash_finds_near_copies(spark):
+def test_simhash_finds_near_copies(spark, monkeypatch):
     """Near copies of Jaccard 0.8 are within the radius, and the result names them; unrelated texts are not."""
     rng = random.Random(28)
     rows = []
@@ -413,6 +413,8 @@ def test_simhash_finds_near_copies(spark):
     assert sum(out[2 * i][0] == [2 * i + 1] for i in range(60)) >= 54
     assert all(set(out[2 * i][0]) <= {2 * i + 1} for i in range(60))
     assert out[1][0] is None and out[0][2] == 1 + len(out[0][0])
+    monkeypatch.setattr(simhash, "BROADCAST_FRONTS", 0)
+    assert by_id(simhash.simhash(frame(spark, rows), every=2), "near_ids", "first_id", "n_near") == out
 
 
 # 7
