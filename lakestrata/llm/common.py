@@ -8,11 +8,17 @@ from collections.abc import Callable, Iterable, Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 from pyspark.sql.window import Window
 
 from ..shared import materialize, shared_dir
 
-__all__ = ["fresh", "materialize", "new_path", "null_safe_key", "per_row", "running", "shared_dir", "table"]
+__all__ = ["fresh", "mapped", "materialize", "new_path", "null_safe_key", "per_row", "running", "shared_dir", "table"]
+
+
+#: Bytes of a batch that goes to Python; a longer row goes alone.
+BATCH_BYTES = 4 << 20
+_MOST_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -53,6 +59,15 @@ def running(rows: DataFrame, order: list[Column], values: dict[str, str]) -> Dat
     return ranged.join(F.broadcast(bases), part).withColumns(sums).drop(part, base)
 
 
+def mapped(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | StructType) -> DataFrame:
+    """df.mapInArrow in batches that are bounded by bytes: 10,000 whole texts at once, the session's default, take tens of
+    MB several times over in the JVM and in each Python worker. The session keeps the bound, as plans are made later."""
+    conf = df.sparkSession.conf
+    if int(conf.get(_MOST_BYTES).rstrip("b")) > BATCH_BYTES:
+        conf.set(_MOST_BYTES, str(BATCH_BYTES))
+    return df.mapInArrow(run, schema)
+
+
 def per_row(schema: pa.Schema, row: Callable[..., tuple | None]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """A mapInArrow function that calls row(*values) on each row and gathers the tuples it returns."""
 

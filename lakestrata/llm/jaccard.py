@@ -32,13 +32,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import fresh, materialize
+from .common import fresh, mapped, materialize
 from .graph import components
 from .shingles import shingle_sets
 
-#: Documents whose sets are held at a time.
-SLICE = 5000
-#: Tokens in at least LOCAL_OFTEN sets of a slice are counted over the corpus; at most FREQUENT of them, the most
+#: Tokens that are held at a time to be counted: 16 MB, and those of one document more.
+HELD = 1 << 21
+#: Tokens in at least LOCAL_OFTEN of the sets held are counted over the corpus; at most FREQUENT of them, the most
 #: frequent, are ordered by their counts, after all other tokens. The order affects speed alone; its table is bounded.
 LOCAL_OFTEN = 3
 FREQUENT = 1 << 18
@@ -80,21 +80,32 @@ def measured(docs: DataFrame, words: int, row: Column | None = None) -> tuple[Da
     """A row for each document: doc_id, row, sid, n, bitmap; and token, count of tokens that are frequent somewhere."""
     schema = pa.schema([("doc_id", pa.int64()), ("row", pa.int64()), ("sid", pa.int64()), ("n", pa.int64()), ("bitmap", pa.binary()), ("token", pa.int64())])
 
+    def counted(every):
+        tokens = np.sort(np.concatenate(every)) if every else np.zeros(0, np.uint64)
+        starts = np.flatnonzero(np.concatenate(([True], tokens[1:] != tokens[:-1]))) if len(tokens) else np.zeros(0, np.int64)
+        counts = np.diff(starts, append=len(tokens))
+        often = counts >= LOCAL_OFTEN
+        return [(None, None, None, int(c), None, int(t)) for t, c in zip(tokens[starts[often]].view(np.int64), counts[often])]
+
+    def parts(rows):
+        for i in range(0, len(rows), 4096):
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows[i : i + 4096]), schema)], schema=schema)
+
     def run(batches):
-        for batch in (b.slice(i, SLICE) for b in batches for i in range(0, b.num_rows, SLICE)):
-            rows, every = [], []
+        every, held = [], 0
+        for batch in batches:
+            rows = []
             for doc_id, key, tokens in zip(batch.column("doc_id").to_pylist(), batch.column("row").to_pylist(), _sets(batch, words)):
                 rows.append((doc_id, key, _sid(tokens) if len(tokens) else None, len(tokens), _bitmap(tokens) if len(tokens) else None, None))
                 every.append(tokens)
-            tokens = np.sort(np.concatenate(every)) if every else np.zeros(0, np.uint64)
-            starts = np.flatnonzero(np.concatenate(([True], tokens[1:] != tokens[:-1]))) if len(tokens) else np.zeros(0, np.int64)
-            counts = np.diff(starts, append=len(tokens))
-            often = counts >= LOCAL_OFTEN
-            rows += [(None, None, None, int(c), None, int(t)) for t, c in zip(tokens[starts[often]].view(np.int64), counts[often])]
-            for i in range(0, len(rows), 4096):
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows[i : i + 4096]), schema)], schema=schema)
-
-    both = materialize(_docs(docs, row).mapInArrow(run, "doc_id long, row long, sid long, n long, bitmap binary, token long"), "shingled")
+                held += len(tokens)
+                if held >= HELD:
+                    rows += counted(every)
+                    every, held = [], 0
+            yield from parts(rows)
+        yield from parts(counted(every))
+
+    both = materialize(mapped(_docs(docs, row), run, "doc_id long, row long, sid long, n long, bitmap binary, token long"), "shingled")
     counts = both.filter("token is not null").groupBy("token").agg(F.sum("n").alias("count"))
     return both.filter("token is null").drop("token"), counts
 
@@ -131,7 +142,7 @@ def prefixes(docs: DataFrame, words: int, percent: int, frequent: np.ndarray) ->
 
     def run(batches):
         known, rank = order.value
-        for batch in (b.slice(i, SLICE) for b in batches for i in range(0, b.num_rows, SLICE)):
+        for batch in batches:
             out = []
             for tokens in _sets(batch, words):
                 if not len(tokens):
@@ -152,7 +163,7 @@ def prefixes(docs: DataFrame, words: int, percent: int, frequent: np.ndarray) ->
                 for i in range(0, whole.num_rows, 65536):
                     yield whole.slice(i, 65536)
 
-    return _docs(docs).mapInArrow(run, "token long, sid long, n int, pos int")
+    return mapped(_docs(docs), run, "token long, sid long, n int, pos int")
 
 
 def shared_tokens(entries: DataFrame) -> DataFrame:
@@ -285,7 +296,7 @@ def met(tiled: DataFrame, percent: int) -> DataFrame:
         if seen or rows:
             yield flush()
 
-    return _dealt(tiled, MEMBER).mapInArrow(run, "a long, b long, token long, band int, low int, high int, block int, sid long, n int, own boolean, comp long, pos int")
+    return mapped(_dealt(tiled, MEMBER), run, "a long, b long, token long, band int, low int, high int, block int, sid long, n int, own boolean, comp long, pos int")
 
 
 def _overlap(differ, n, m):
@@ -371,9 +382,9 @@ def candidates(tiled: DataFrame, sets: DataFrame, percent: int, whole: bool) ->
 
     side = lambda k, n, x: bitmaps.select(F.col("sid").alias(k), F.col("n").alias(n), F.col("bitmap").alias(x))
     pairs = found.filter("b is not null").select("a", "b").distinct().join(side("a", "n", "x"), "a").join(side("b", "m", "y"), "b")
-    sparse = pairs.select("a", "b", "n", "m", "x", "y").mapInArrow(bounded, "a long, b long")
+    sparse = mapped(pairs.select("a", "b", "n", "m", "x", "y"), bounded, "a long, b long")
     rows = found.filter("b is null").drop("a", "b").join(bitmaps.select("sid", "bitmap"), "sid")
-    return sparse.unionByName(_dealt(rows, [*MEMBER, "bitmap"]).mapInArrow(dense, "a long, b long")).distinct()
+    return sparse.unionByName(mapped(_dealt(rows, [*MEMBER, "bitmap"]), dense, "a long, b long")).distinct()
 
 
 def verified(pairs: DataFrame, docs: DataFrame, reps: DataFrame, words: int, percent: int) -> DataFrame:
@@ -389,7 +400,7 @@ def verified(pairs: DataFrame, docs: DataFrame, reps: DataFrame, words: int, per
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows[i : i + 512]), schema)], schema=schema)
 
     # A doc_id may have several texts; each is a set, and only asked sets find a pair.
-    known = _picked(_docs(docs), "doc_id", asked).mapInArrow(sets, "sid long, tokens binary").dropDuplicates(["sid"])
+    known = mapped(_picked(_docs(docs), "doc_id", asked), sets, "sid long, tokens binary").dropDuplicates(["sid"])
     joined = pairs.join(known.select(F.col("sid").alias("a"), F.col("tokens").alias("x")), "a").join(known.select(F.col("sid").alias("b"), F.col("tokens").alias("y")), "b")
     out = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("linked", pa.bool_())])
 
@@ -402,7 +413,7 @@ def verified(pairs: DataFrame, docs: DataFrame, reps: DataFrame, words: int, per
                 verdicts.append(100 * both >= percent * (len(x) + len(y) - both))
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(verdicts, pa.bool_())], schema=out)
 
-    return materialize(joined.select("a", "b", "x", "y").mapInArrow(check, "a long, b long, linked boolean"), "verdicts")
+    return materialize(mapped(joined.select("a", "b", "x", "y"), check, "a long, b long, linked boolean"), "verdicts")
 
 
 def linked(docs: DataFrame, words: int, percent: int, row: Column | None = None) -> tuple[DataFrame, DataFrame]:

@@ -20,6 +20,8 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 
+from .common import mapped
+
 #: The least saving of a template that is compared exactly, and the most words that may differ in a hundred; in a template
 #: of FEW_WORDS words or more one may always, though not of the license's name.
 LEAST_SAVING = 0.3
@@ -192,4 +194,4 @@ def find_licenses(docs: DataFrame, templates: dict[str, str] | None = None) -> D
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _ARROW)], schema=_ARROW)
 
     ddl = "doc_id long, license string, template string, start long, end long, saving double, n_lacking long, n_added long, exact boolean"
-    return docs.select("doc_id", "text").mapInArrow(run, ddl)
+    return mapped(docs.select("doc_id", "text"), run, ddl)

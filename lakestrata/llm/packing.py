@@ -23,6 +23,8 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
+from .common import mapped
+
 SEQUENCE = 2048
 GROUP_SEQUENCES = 512
 END_ID = 1
@@ -125,4 +127,4 @@ def packed(docs: DataFrame, tokenizer: str, ranks: str | None = None, size: int
         if group:
             yield _group(group, first, size)[0]
 
-    return docs.select("doc_id", "text").mapInArrow(run, _DDL)
+    return mapped(docs.select("doc_id", "text"), run, _DDL)

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from .common import fresh, materialize, null_safe_key, per_row
+from .common import fresh, mapped, materialize, null_safe_key, per_row
 
 #: A host is bad if more than this share of its documents is expected to fail, after shrinkage.
 BAD_HOST_RATE = 0.5
@@ -54,7 +54,7 @@ def measure(text: bytes | None) -> tuple[int, int, int, int, int, int]:
 def measured(docs: DataFrame) -> DataFrame:
     """doc_id, host (null-safe key of source) and the six measures, a row for each input row."""
     rows = docs.select("doc_id", null_safe_key("source").alias("host"), F.col("text").cast("binary").alias("text"))
-    return rows.mapInArrow(per_row(_ARROW, lambda doc_id, host, text: (doc_id, host, *measure(text))), _DDL)
+    return mapped(rows, per_row(_ARROW, lambda doc_id, host, text: (doc_id, host, *measure(text))), _DDL)
 
 
 def annotated(docs: DataFrame, name: str) -> DataFrame:
@@ -67,7 +67,7 @@ def annotated(docs: DataFrame, name: str) -> DataFrame:
             found = pa.array([dict(zip(MEASURES, measure(t))) for t in texts], kind)
             yield batch.append_column(name, found)
 
-    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(name, _MEASURES)]))
+    return mapped(docs, run, StructType([*docs.schema.fields, StructField(name, _MEASURES)]))
 
 
 def rule_conditions(m: Callable[[str], Column] = F.col) -> tuple[Column, Column]:

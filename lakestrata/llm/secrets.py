@@ -36,7 +36,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import per_row
+from .common import mapped, per_row
 
 KINDS = ("assign", "access", "hex")
 ORDER = {k: i for i, k in enumerate([*KINDS, *(f"decoded_{k}" for k in KINDS)])}
@@ -284,7 +284,7 @@ def find_secrets(docs: DataFrame) -> DataFrame:
     """A row for each document: the counts, base_sha256 and spans of the contract."""
     arrow = pa.schema([("doc_id", pa.int64()), *((f"n_{k}", pa.int64()) for k in KINDS), ("base_sha256", pa.string()), ("spans", pa.string())])
     ddl = "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string"
-    return docs.select("doc_id", "text").mapInArrow(per_row(arrow, _row), ddl)
+    return mapped(docs.select("doc_id", "text"), per_row(arrow, _row), ddl)
 
 
 def redacted(docs: DataFrame) -> DataFrame:
@@ -295,5 +295,5 @@ def redacted(docs: DataFrame) -> DataFrame:
             at = batch.schema.get_field_index("text")
             yield batch.set_column(at, "text", pa.array([redact(t) for t in batch.column(at).to_pylist()], batch.schema.field(at).type))
 
-    out = docs.mapInArrow(run, docs.schema)
+    out = mapped(docs, run, docs.schema)
     return out.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out

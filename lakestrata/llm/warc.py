@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, new_path
+from .common import mapped, materialize, new_path
 
 #: Payloads of fewer bytes are never revisits.
 MIN_DEDUP_BYTES = 0
@@ -113,7 +113,7 @@ def write_archives(pages: DataFrame, path: str) -> None:
 
     same = F.col("page_id").eqNullSafe(F.col("_p")) & (F.col("n") == F.col("_n"))
     joined = rows.join(known.withColumnsRenamed({"page_id": "_p", "n": "_n"}), same, "left").select("page_id", "url", "html", "n", "refers_to")
-    records = joined.mapInArrow(run, "value string, file int")
+    records = mapped(joined, run, "value string, file int")
     records.write.partitionBy("file").option("lineSep", END).option("compression", "gzip").text(path)
 
 
@@ -197,7 +197,7 @@ def read_archives(spark: SparkSession, path: str, payloads: bool = True) -> Data
 
     ddl = "warc_type string, record_id string, concurrent_to string, refers_to_id string, target_uri string, payload_digest string, payload_bytes long, intact boolean, payload binary"
     # A file is a task's unit; the reader must not pack many of them into one batch.
-    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("content").mapInArrow(run, ddl)
+    return mapped(spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("content"), run, ddl)
 
 
 def assemble(records: DataFrame) -> DataFrame:
