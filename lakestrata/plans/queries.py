@@ -525,11 +525,10 @@ def _(spark, sf):
 
 @query("versioned_source", fx.sql("base", body=f"SELECT {ENTRY} FROM base WHERE starts_with(path, 'src1')"))
 def _(spark, sf):
-    from ..sources.versioned import VersionedSource
+    from ..sources.versioned import read
 
     repo = fx.repository(spark, sf)
-    spark.dataSource.register(VersionedSource)
-    return spark.read.format("strata").option("root", repo.root).option("ref", repo.resolve(fx.FIRST)).load().filter(F.col("path").startswith("src1"))
+    return read(spark, repo.root, repo.resolve(fx.FIRST), "src1").filter(F.col("path").startswith("src1"))
 
 
 _STATS = ("lineitem", "l_orderkey", "l"), ("lineitem", "l_quantity", "d"), ("orders", "o_orderkey", "l"), ("documents", "doc_id", "l"), ("labels", "toxic", "l")

@@ -2,6 +2,10 @@
 
     spark.dataSource.register(VersionedSource)
     spark.read.format("strata").option("root", "/data/set").option("ref", "main").load("images/")
+
+Spark refuses readers that take filters unless spark.sql.python.filterPushdown.enabled is true, and a source can't see that
+setting. So filters are pushed with option pushdown=true only, which read() gives where the setting allows it; otherwise
+Spark filters what is read, and the prefix given to load() alone narrows the scan.
 """
 
 from __future__ import annotations
@@ -10,7 +14,7 @@ from collections.abc import Iterator
 
 import pyarrow.compute as pc
 import pyarrow.dataset as ds
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, InputPartition, StringStartsWith
 
 from ..functions.paths import DatasetURI, parse_uri
@@ -84,15 +88,6 @@ class _Reader(DataSourceReader):
         self.equal: list[str] = []
         self.prefixes: list[str] = [self.prefix] if self.prefix else []
 
-    def pushFilters(self, filters: list[Filter]):
-        for f in filters:
-            if isinstance(f, EqualTo) and f.attribute == ("path",):
-                self.equal.append(f.value)
-            elif isinstance(f, StringStartsWith) and f.attribute == ("path",):
-                self.prefixes.append(f.value)
-            else:
-                yield f
-
     def partitions(self) -> list[_File]:
         store = Store(None, meta_uri(self.root))
         found = store.ref(self.ref)
@@ -116,8 +111,19 @@ class _Reader(DataSourceReader):
         yield from ds.dataset(path, filesystem=fs, format="parquet").to_batches(columns=ENTRY_COLUMNS, filter=wanted)
 
 
+class _PushedReader(_Reader):
+    def pushFilters(self, filters: list[Filter]):
+        for f in filters:
+            if isinstance(f, EqualTo) and f.attribute == ("path",):
+                self.equal.append(f.value)
+            elif isinstance(f, StringStartsWith) and f.attribute == ("path",):
+                self.prefixes.append(f.value)
+            else:
+                yield f
+
+
 class VersionedSource(DataSource):
-    """Entries of a ref. Equalities and prefixes of the path are pushed to the snapshot's files."""
+    """Entries of a ref. With pushdown=true, equalities and prefixes of the path are pushed to the snapshot's files."""
 
     @classmethod
     def name(cls) -> str:
@@ -127,4 +133,12 @@ class VersionedSource(DataSource):
         return ENTRY
 
     def reader(self, schema) -> _Reader:
-        return _Reader(dict(self.options))
+        options = dict(self.options)
+        return (_PushedReader if options.get("pushdown", "").lower() == "true" else _Reader)(options)
+
+
+def read(spark: SparkSession, root: str, ref: str = "main", prefix: str = "") -> DataFrame:
+    """Entries of a ref below a prefix; filters on them are pushed where the session's setting allows it."""
+    spark.dataSource.register(VersionedSource)
+    pushdown = spark.conf.get("spark.sql.python.filterPushdown.enabled", "false")
+    return spark.read.format("strata").options(root=root, ref=ref, prefix=prefix, pushdown=pushdown).load()

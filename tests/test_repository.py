@@ -11,7 +11,7 @@ from lakestrata.config import Config
 from lakestrata.errors import MergeConflict, NonFastForward, NotARepository, OptimisticLock, RefConflict, StrataError
 from lakestrata.repository import Repository
 from lakestrata.sources.files import describe, list_files, open_stream
-from lakestrata.sources.versioned import VersionedSource, VirtualFiles
+from lakestrata.sources.versioned import VersionedSource, VirtualFiles, read
 
 
 def put(root, **files):
@@ -407,6 +407,25 @@ def test_views(spark, repo, root):
     assert paths(df.filter(df.path.startswith("dir"))) == ["dir/b.txt"] and paths(df.filter("path = 'a.txt'")) == ["a.txt"]
 
 
+@pytest.mark.parametrize("allowed", ["false", "true"])
+def test_source_whether_or_not_filters_may_be_pushed(spark, repo, root, allowed):
+    put(root, a_txt="alpha", dir__b_txt="beta", dir__c_txt="c", other_txt="o")
+    repo.commit("one")
+    key = "spark.sql.python.filterPushdown.enabled"
+    before = spark.conf.get(key)
+    spark.conf.set(key, allowed)
+    try:
+        spark.dataSource.register(VersionedSource)
+        plain = spark.read.format("strata").option("root", str(root)).load()
+        for df in (plain, read(spark, str(root))):
+            assert len(paths(df)) == 4
+            assert paths(df.filter(df.path.startswith("dir"))) == ["dir/b.txt", "dir/c.txt"] and paths(df.filter("path = 'a.txt'")) == ["a.txt"]
+            assert paths(df.filter("size = 1")) == ["dir/c.txt", "other.txt"] and paths(df.filter("path = 'a.txt' AND path LIKE 'dir%'")) == []
+        assert paths(read(spark, str(root), prefix="dir")) == ["dir/b.txt", "dir/c.txt"]
+    finally:
+        spark.conf.set(key, before)
+
+
 def test_reflog_stream(spark, repo, root, tmp_path):
     from lakestrata.streaming.reflog import activity, updates
 
