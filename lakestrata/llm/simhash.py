@@ -10,10 +10,14 @@ bits apart; RADIUS holds nearly all such pairs, and unrelated texts, 64 bits apa
 permuted block tables: each table's permutation brings some of the BLOCKS blocks of bits to the front, and fingerprints
 whose fronts agree meet there. So many blocks stand in front that a front has few fingerprints by chance, whatever their
 number, and there are so many tables that a pair DESIGN bits apart meets in one of them with a chance of FOUND; nearer
-pairs, which are most, are surer. (No set of tables finds every pair at such a radius with fronts of more than 4 bits: of
-28 differing bits some may lie in each block.) Pairs that meet are compared exactly, and a pair comes from the first table
-where it meets, so none is made twice. Both sides grow with the number of fingerprints times the number of tables, which
-grows as its 0.23rd power. A fingerprint stands for its rows: equal ones are found by equality, all of them.
+pairs, which are most, are surer. Pairs that meet are compared exactly, and a pair comes from the first table where it
+meets, so none is made twice. Both sides grow with the number of fingerprints times the number of tables, which grows as
+its 0.23rd power. A fingerprint stands for its rows: equal ones are found by equality, all of them.
+
+No set of tables finds every pair at such a radius with fronts of more than 4 bits: of 28 differing bits some may lie in
+each block. The pairs within RADIUS that meet in no table are found by a scan, which holds SCAN_QUERIES queries at a time
+against every fingerprint: two XORs and bit counts, some 4 ns, a pair. So no pair is left out, and this part grows as the
+queries times the fingerprints.
 
 Edge cases: a null text is empty, and a text without words has fingerprint 0; fewer than WORDS words are one term;
 a null doc_id comes last in descending order; rows that share a doc_id, or have none, follow each other by a digest of
@@ -43,6 +47,8 @@ FOUND = 0.96
 FRONT = 16
 #: Fronts of queries that may be broadcast, some 150 bytes each.
 BROADCAST_FRONTS = 400_000
+#: Queries that a scan holds at once, some 50 bytes each, which a core's cache should keep.
+SCAN_QUERIES = 16_000
 SEED = 20240611
 LANES = 0x0101010101010101
 LANE_TERMS = 127
@@ -176,7 +182,8 @@ def tables(n: int) -> list[tuple[int, int]]:
 
 def neighbours(queries: DataFrame, prints: DataFrame) -> DataFrame:
     """Each pair q, fp of a queried and a stored distinct fingerprint at most RADIUS bits apart, equal ones included, with
-    the other columns of prints, whose fp is distinct. Equal ones are joined as such; others meet in permuted tables."""
+    the other columns of prints, whose fp is distinct. Equal ones are joined as such; others meet in permuted tables, or in
+    none and are scanned for."""
     spark, chosen = prints.sparkSession, tables(prints.count())
     masks = F.array(*(F.struct(F.lit(lo).cast("long").alias("lo"), F.lit(hi).cast("long").alias("hi")) for lo, hi in chosen))
 
@@ -188,10 +195,11 @@ def neighbours(queries: DataFrame, prints: DataFrame) -> DataFrame:
     # Fingerprints are few bytes and much work, so their partitions must not be coalesced.
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
     distinct = materialize(queries.select(F.col("fp").alias("q")).distinct(), "queries")
+    n_queries, stored = distinct.count(), prints.select("fp").repartition(parts)
     asked = fronts(distinct, "q").drop("table")
     # The planner takes exploded rows for few: their number says whether they are broadcast or both sides are dealt.
-    asked = F.broadcast(asked) if distinct.count() * len(chosen) <= BROADCAST_FRONTS else asked.hint("merge")
-    met = fronts(prints.select("fp").repartition(parts), "fp").join(asked, "front")
+    asked = F.broadcast(asked) if n_queries * len(chosen) <= BROADCAST_FRONTS else asked.hint("merge")
+    met = fronts(stored, "fp").join(asked, "front")
     differ = lambda half: F.col(f"q.{half}").bitwiseXOR(F.col(f"fp.{half}"))
     agree = lambda m: (F.col("lo").bitwiseAND(m["lo"]) == 0) & (F.col("hi").bitwiseAND(m["hi"]) == 0)
     apart = F.bit_count("lo") + F.bit_count("hi")
@@ -199,9 +207,29 @@ def neighbours(queries: DataFrame, prints: DataFrame) -> DataFrame:
     # The first table where they meet; a front's digest may bring others together, which is no table's doing.
     first = F.array_position(F.transform(masks, agree), True) - 1
     near = near.filter(first == F.col("table")).select("q", "fp").unionByName(distinct.select("q", F.col("q").alias("fp")))
+    for pairs in scanned(distinct, n_queries, stored):
+        alone = pairs.select("q", "fp", differ("lo").alias("lo"), differ("hi").alias("hi")).filter(first < 0)
+        near = near.unionByName(alone.select("q", "fp"))
     return near.join(prints, "fp").select("q", *prints.columns)
 
 
+def scanned(queries: DataFrame, n_queries: int, stored: DataFrame) -> list[DataFrame]:
+    """The pairs q, fp of a query and a stored fingerprint that are 1 to RADIUS bits apart, by comparing all: a written
+    table for each share of the queries, one after the other, as each is broadcast."""
+    half = lambda c, h: F.coalesce(F.col(f"{c}.{h}"), _long(0)).alias(f"{c}_{h}")
+    shares, out = -(-n_queries // SCAN_QUERIES), []
+    flat = stored.select(half("fp", "lo"), half("fp", "hi"))
+    differ = lambda h: F.bit_count(F.col(f"q_{h}").bitwiseXOR(F.col(f"fp_{h}")))
+    apart = differ("lo") + differ("hi")
+    whole = lambda c: F.struct(F.col(f"{c}_lo").alias("lo"), F.col(f"{c}_hi").alias("hi")).alias(c)
+    for share in range(shares):
+        asked = queries.filter(F.pmod(F.xxhash64("q"), F.lit(shares)) == share).select(half("q", "lo"), half("q", "hi"))
+        # The radius, which few pass, is asked first; what else is asked of pairs is asked once they are written.
+        pairs = flat.join(F.broadcast(asked), (apart <= RADIUS) & (apart > 0))
+        out.append(materialize(pairs.select(whole("q"), whole("fp")), "scan"))
+    return out
+
+
 def simhash(docs: DataFrame, every: int = 50) -> DataFrame:
     """The contract's columns, and the search: for documents whose id `every` divides, n_near is how many others lie within
     RADIUS, and near_ids has the smallest doc_id of each other fingerprint there. first_id, in every row, is the smallest

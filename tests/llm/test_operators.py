@@ -417,6 +417,28 @@ def test_simhash_finds_near_copies(spark, monkeypatch):
     assert by_id(simhash.simhash(frame(spark, rows), every=2), "near_ids", "first_id", "n_near") == out
 
 
+def test_simhash_leaves_no_neighbour_out(spark, monkeypatch):
+    """Made fingerprints some bits apart, up to RADIUS and beyond: every pair within it is found, once, however queries are
+    shared out."""
+    rng = random.Random(31)
+    queries = [rng.getrandbits(simhash.BITS) for _ in range(60)]
+    stored = set(queries) | {rng.getrandbits(simhash.BITS) for _ in range(3000)}
+    for q in queries:
+        for apart in (1, 12, 20, 25, simhash.RADIUS - 1, simhash.RADIUS, simhash.RADIUS, simhash.RADIUS + 1):
+            stored.add(q ^ sum(1 << b for b in rng.sample(range(simhash.BITS), apart)))
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    whole = lambda x: {"lo": signed(x & (1 << 64) - 1), "hi": signed(x >> 64)}
+    back = lambda r: (r["lo"] & (1 << 64) - 1) | (r["hi"] & (1 << 64) - 1) << 64
+    frames = [spark.createDataFrame([(whole(x),) for x in xs], "fp struct<lo:long,hi:long>") for xs in (queries + queries[:5], sorted(stored))]
+    want = sorted((q, f) for q in queries for f in stored if (q ^ f).bit_count() <= simhash.RADIUS)
+    assert len(want) >= 60 * 8
+    found = lambda: sorted((back(r["q"]), back(r["fp"])) for r in simhash.neighbours(*frames).collect())
+    assert found() == want
+    monkeypatch.setattr(simhash, "SCAN_QUERIES", 25)
+    assert found() == want
+    assert simhash.neighbours(frames[0].limit(0), frames[1]).count() == 0
+
+
 # 7
 
 
