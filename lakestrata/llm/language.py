@@ -2,9 +2,11 @@
 
 Each language has a zstandard raw-content dictionary made from a bounded sample of its labelled documents. A text is
 cut into blocks, every block is compressed with the dictionaries, and the language whose blocks come out smallest is
-chosen. Where there are more than SHORTLIST languages, those whose dictionaries' byte trigrams fit the whole text best are
-compressed with, so the work of a text hardly grows with the languages. `accepted` is false where the margin to the
-second best is under MARGIN; lang_pred still names the best.
+chosen. Every language is tried, so the work of a text grows with their number. Where there are more than SHORTLIST, those
+whose dictionaries' byte trigrams fit the whole text best come first, and any language is given up once its blocks take
+HOPELESS times the best size: it can be neither best nor second within MARGIN, and its part of the score is lost in a
+double's rounding. So the result is that of trying all in full. `accepted` is false where the margin to the second best is
+under MARGIN; lang_pred still names the best.
 
 What is learned is bounded: DOCS_PER_LANG documents and DICT_BYTES of a language, and MODEL_BYTES of all languages, which
 share them equally where they are many. No language is left out.
@@ -28,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import mapped, materialize, per_row
+from .common import mapped, materialize
 
 #: Bounds of what is learned: documents and bytes of dictionary for a language, and bytes for all.
 DOCS_PER_LANG = 200
@@ -36,10 +38,13 @@ DICT_BYTES = 32 << 10
 MODEL_BYTES = 32 << 20
 BLOCK = 1024
 LEVEL = 12
-#: Languages that a text is compressed with, buckets of byte trigrams, and compressors that a task holds.
+#: Languages that a text is compressed with first, buckets of byte trigrams, and compressors that a task holds.
 SHORTLIST = 8
 BUCKETS = 4096
 HELD = 64
+#: Sizes, of a text by a language, that a task holds; times the best size from which a language is given up.
+SIZES = 1 << 20
+HOPELESS = 3
 #: Relative difference in size under which a prediction isn't accepted.
 MARGIN = 0.01
 
@@ -104,18 +109,44 @@ class Classifier:
         return sorted(np.argsort(-(self.logs @ _trigrams(data).astype(np.float32)), kind="stable")[: self.shortlist].tolist())
 
     def __call__(self, text: str | None) -> tuple[str, float, bool]:
-        if not text or not self.langs or not _LETTER.search(text):
-            return "und", 0.0, False
-        data = text.encode("utf-8", "replace")
-        blocks = [data[i : i + BLOCK] for i in range(0, len(data), BLOCK)]
-        near = self.candidates(data)
-        sizes = [sum(len(c(b)) for b in blocks) for c in map(self.compressor, near)]
+        return self.classify([text])[0]
+
+    def classify(self, texts: list[str | None]) -> list[tuple[str, float, bool]]:
+        """Language, score and whether it is accepted, for each text. Many texts share a compressor that isn't held."""
+        out = [("und", 0.0, False)] * len(texts)
+        known = [i for i, t in enumerate(texts) if t and self.langs and _LETTER.search(t)]
+        share = max(1, SIZES // max(1, len(self.langs)))
+        for at in range(0, len(known), share):
+            some = known[at : at + share]
+            for i, sizes in zip(some, self._sizes([texts[i].encode("utf-8", "replace") for i in some])):
+                out[i] = self._chosen(sizes.tolist())
+        return out
+
+    def _sizes(self, texts: list[bytes]) -> np.ndarray:
+        """The compressed size of each text by each language, or one that is at least HOPELESS times the text's best."""
+        sizes, best = np.zeros((len(texts), len(self.langs)), np.int64), [math.inf] * len(texts)
+        cut = [[t[i : i + BLOCK] for i in range(0, len(t), BLOCK)] for t in texts]
+        near = [set(self.candidates(t)) for t in texts]
+        for first in (True, False):
+            for lang in range(len(self.langs)):
+                todo = [i for i, found in enumerate(near) if (lang in found) == first]
+                compress = self.compressor(lang) if todo else None
+                for i in todo:
+                    size, limit = 0, HOPELESS * best[i]
+                    for block in cut[i]:
+                        size += len(compress(block))
+                        if size >= limit:
+                            break
+                    sizes[i, lang], best[i] = size, min(size, best[i])
+        return sizes
+
+    def _chosen(self, sizes: list[int]) -> tuple[str, float, bool]:
         order = sorted(range(len(sizes)), key=sizes.__getitem__)
         best = sizes[order[0]]
         margin = (sizes[order[1]] - best) / sizes[order[1]] if len(order) > 1 else 1.0
         # Sizes are code lengths: their differences are log likelihood ratios, tempered by the length.
         score = 1 / sum(math.exp(-20 * (s - best) / best) for s in sizes)
-        return self.langs[near[order[0]]], score, margin >= MARGIN
+        return self.langs[order[0]], score, margin >= MARGIN
 
 
 def predict(docs: DataFrame, dictionaries: dict[str, bytes]) -> DataFrame:
@@ -124,8 +155,12 @@ def predict(docs: DataFrame, dictionaries: dict[str, bytes]) -> DataFrame:
     arrow = pa.schema([("doc_id", pa.int64()), ("lang_pred", pa.string()), ("score", pa.float64()), ("accepted", pa.bool_())])
 
     def run(batches):
-        classify = Classifier(model.value)
-        yield from per_row(arrow, lambda doc_id, text: (doc_id, *classify(text)))(batches)
+        classifier = Classifier(model.value)
+        for batch in batches:
+            ids, texts = (c.to_pylist() for c in batch.columns)
+            if ids:
+                columns = [ids, *zip(*classifier.classify(texts))]
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, arrow)], schema=arrow)
 
     return mapped(docs.select("doc_id", "text"), run, "doc_id long, lang_pred string, score double, accepted boolean")
 

@@ -3,6 +3,7 @@
 import base64
 import gzip
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -507,6 +508,39 @@ def test_many_languages(spark):
     assert set(trained) == {"long", "tiny", "none"} and len(trained["long"]) > 20_000
 
 
+def test_every_language_is_tried(monkeypatch):
+    """The smallest of all languages' sizes wins, and all are in the score, whatever the trigrams put first."""
+    import zstandard
+
+    rng = random.Random(12)
+    words = ["".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(40)]
+    passages = [prose(rng, 200, words) for _ in range(6)]
+    noise = lambda: "".join(rng.choice("0123456789:;<=>?") for _ in range(4000))
+    # Languages with the words, in other orders, and after them one for each passage, whole amid noise.
+    models = {f"a{i:02}": prose(rng, 600, words).encode() for i in range(10)} | {f"b{i}": (noise() + p + noise()).encode() for i, p in enumerate(passages)}
+    texts = [*passages, noise(), prose(rng, 30, words), "x", "12 34", None, "", passages[0] * 20, "überall Übung " * 300]
+
+    def size(data, text):
+        d = zstandard.ZstdCompressionDict(data, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        one = zstandard.ZstdCompressor(level=language.LEVEL, dict_data=d, write_checksum=False, write_content_size=False, write_dict_id=False)
+        d.precompute_compress(level=language.LEVEL)
+        return sum(len(one.compress(text[i : i + language.BLOCK])) for i in range(0, len(text), language.BLOCK))
+
+    classify = language.Classifier(models)
+    assert all(10 + i not in classify.candidates(p.encode()) for i, p in enumerate(passages))
+    out = [classify(t) for t in texts]
+    assert [o[0] for o in out[:6]] == [f"b{i}" for i in range(6)]
+    for text, (lang, score, accepted) in zip(texts, out):
+        assert lang == plain_language(text, models)
+        if lang != "und":
+            sizes = sorted(size(data, text.encode()) for data in models.values())
+            assert abs(score - 1 / sum(math.exp(-20 * (s - sizes[0]) / sizes[0]) for s in sizes)) < 1e-12
+            assert accepted == ((sizes[1] - sizes[0]) / sizes[1] >= language.MARGIN)
+    monkeypatch.setattr(language, "HELD", 3)
+    monkeypatch.setattr(language, "SIZES", 40)
+    assert language.Classifier(models).classify(texts) == out
+
+
 def test_mixing(spark):
     rng = random.Random(7)
     sources = ["big"] * 60 + ["mid"] * 25 + ["small"] * 10 + [None] * 5
