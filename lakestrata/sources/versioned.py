@@ -3,13 +3,15 @@
     spark.dataSource.register(VersionedSource)
     spark.read.format("strata").option("root", "/data/set").option("ref", "main").load("images/")
 
-Spark refuses readers that take filters unless spark.sql.python.filterPushdown.enabled is true, and a source can't see that
-setting. So filters are pushed with option pushdown=true only, which read() gives where the setting allows it; otherwise
-Spark filters what is read, and the prefix given to load() alone narrows the scan.
+Spark refuses readers that take filters unless spark.sql.python.filterPushdown.enabled is true when a query runs, and a source
+can't see that setting. But Spark asks for the reader that it pushes filters to from a worker of its own, which runs only where
+the setting allows it. There the reader takes filters; otherwise Spark filters what is read, and the prefix given to load()
+alone narrows the scan.
 """
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 
 import pyarrow.compute as pc
@@ -21,6 +23,9 @@ from ..functions.paths import DatasetURI, parse_uri
 from ..schema import ENTRY, ENTRY_COLUMNS
 from .store import Store, meta_uri
 
+#: The module of Spark's worker that pushes filters.
+PUSHING = "pyspark.sql.worker.data_source_pushdown_filters"
+
 
 class VirtualFiles:
     """Files of registered repositories as scheme://dataset@ref[+staged]/path."""
@@ -123,7 +128,7 @@ class _PushedReader(_Reader):
 
 
 class VersionedSource(DataSource):
-    """Entries of a ref. With pushdown=true, equalities and prefixes of the path are pushed to the snapshot's files."""
+    """Entries of a ref. Where Spark pushes filters, equalities and prefixes of the path go to the snapshot's files."""
 
     @classmethod
     def name(cls) -> str:
@@ -133,12 +138,11 @@ class VersionedSource(DataSource):
         return ENTRY
 
     def reader(self, schema) -> _Reader:
-        options = dict(self.options)
-        return (_PushedReader if options.get("pushdown", "").lower() == "true" else _Reader)(options)
+        caller = sys._getframe(1).f_globals.get("__spec__")
+        return (_PushedReader if caller and caller.name == PUSHING else _Reader)(dict(self.options))
 
 
 def read(spark: SparkSession, root: str, ref: str = "main", prefix: str = "") -> DataFrame:
     """Entries of a ref below a prefix; filters on them are pushed where the session's setting allows it."""
     spark.dataSource.register(VersionedSource)
-    pushdown = spark.conf.get("spark.sql.python.filterPushdown.enabled", "false")
-    return spark.read.format("strata").options(root=root, ref=ref, prefix=prefix, pushdown=pushdown).load()
+    return spark.read.format("strata").options(root=root, ref=ref, prefix=prefix).load()

@@ -45,6 +45,20 @@ def test_versioned_source_by_either_setting(spark, duck, allowed):
         spark.conf.set(key, before)
 
 
+@pytest.mark.parametrize("asked, run", [("true", "false"), ("false", "true")])
+def test_versioned_source_run_by_another_setting_than_asked(spark, duck, asked, run):
+    key = "spark.sql.python.filterPushdown.enabled"
+    before = spark.conf.get(key)
+    try:
+        spark.conf.set(key, asked)
+        df = __spark_entry__.queries()["versioned_source"](spark, SF)
+        spark.conf.set(key, run)
+        want = duck.sql(ORACLE["versioned_source"])
+        assert rows(df.columns, df.collect()) == rows(want.columns, want.fetchall())
+    finally:
+        spark.conf.set(key, before)
+
+
 def test_entry(spark):
     assert __spark_entry__.entry(spark).count() > 0
 

@@ -426,6 +426,26 @@ def test_source_whether_or_not_filters_may_be_pushed(spark, repo, root, allowed)
         spark.conf.set(key, before)
 
 
+def test_source_pushes_filters_where_the_setting_allows_it_when_run(spark, repo, root):
+    put(root, a_txt="alpha", dir__b_txt="beta", dir__c_txt="c")
+    repo.commit("one")
+    key = "spark.sql.python.filterPushdown.enabled"
+    before = spark.conf.get(key)
+    spark.dataSource.register(VersionedSource)
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    try:
+        for asked in "true", "false":
+            for run in "true", "false":
+                for load in lambda: spark.read.format("strata").option("root", str(root)).load(), lambda: read(spark, str(root)):
+                    spark.conf.set(key, asked)
+                    df = load().filter("path LIKE 'dir%'")
+                    spark.conf.set(key, run)
+                    assert paths(df) == ["dir/b.txt", "dir/c.txt"]
+                    assert ("Filter StartsWith" in plan(df)) == (run == "false")
+    finally:
+        spark.conf.set(key, before)
+
+
 def test_reflog_stream(spark, repo, root, tmp_path):
     from lakestrata.streaming.reflog import activity, updates
 
