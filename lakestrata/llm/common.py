@@ -13,7 +13,7 @@ from pyspark.sql.window import Window
 
 from ..shared import materialize, shared_dir
 
-__all__ = ["fresh", "mapped", "materialize", "new_path", "null_safe_key", "per_row", "running", "shared_dir", "table"]
+__all__ = ["bounded", "fresh", "mapped", "materialize", "new_path", "null_safe_key", "per_row", "running", "shared_dir", "table"]
 
 
 #: Bytes of a batch that goes to Python; a longer row goes alone.
@@ -59,12 +59,16 @@ def running(rows: DataFrame, order: list[Column], values: dict[str, str]) -> Dat
     return ranged.join(F.broadcast(bases), part).withColumns(sums).drop(part, base)
 
 
+def bounded(spark: SparkSession) -> None:
+    """Bounds the batches that go to Python by bytes: 10,000 whole texts at once, the session's default, take tens of MB
+    several times over in the JVM and in each Python worker. The session keeps the bound, as plans are made later."""
+    if spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(_MOST_BYTES)) > BATCH_BYTES:
+        spark.conf.set(_MOST_BYTES, str(BATCH_BYTES))
+
+
 def mapped(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | StructType) -> DataFrame:
-    """df.mapInArrow in batches that are bounded by bytes: 10,000 whole texts at once, the session's default, take tens of
-    MB several times over in the JVM and in each Python worker. The session keeps the bound, as plans are made later."""
-    conf = df.sparkSession.conf
-    if int(conf.get(_MOST_BYTES).rstrip("b")) > BATCH_BYTES:
-        conf.set(_MOST_BYTES, str(BATCH_BYTES))
+    """df.mapInArrow in batches that are bounded by bytes."""
+    bounded(df.sparkSession)
     return df.mapInArrow(run, schema)
 
 

@@ -2,13 +2,15 @@
 
 Suffixes are dealt into buckets such that equal LENGTH-byte strings share a bucket, and one bucket is sorted at a time:
 
-1. Documents are dealt to slots by their id, once; the same shuffle serves steps 2, 4 and 6.
+1. Documents are dealt to slots by their id, once; the same shuffle serves all steps over texts.
 2. The anchor of a LENGTH-byte window is the place of its smallest GRAM-byte hash, so equal windows have equal anchors.
-   Windows of one anchor are neighbours and form a run. Each slot sends the distinct anchor hashes that it holds.
+   Windows of one anchor are neighbours and form a run. Each slot sends the distinct anchor hashes that it holds, and
+   how many distinct texts each one's runs have.
 3. Hashes of more than one slot go back to their slots. All other windows are unique, as far as other slots go.
 4. Each slot sends the runs of repeated anchors as short segments of text to their anchor's bucket, one for each
-   distinct text in the slot; other copies in the slot are covered. Runs of very common anchors are sent window by
-   window, to buckets by the windows' own hash, so that no bucket grows with the frequency of an anchor.
+   distinct text in the slot; other copies in the slot are covered. Runs of anchors with very many segments would
+   fill a bucket: steps 2 and 3 are repeated for them with longer grams, and they are sent by those anchors, in parts.
+   Where such an anchor has very many segments too, its windows are sent one by one, to buckets by their own hash.
 5. A bucket drops equal segments and sorts the suffixes of the rest (see `sort_suffixes`): by their first bytes, and
    long ties by the ranks of a difference cover's sample. Equal windows are then neighbours; all but the first in
    document order are covered.
@@ -29,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import shared_dir
+from .common import bounded, shared_dir
 from .shingles import mix
 
 LENGTH = 100
@@ -37,8 +39,10 @@ GRAM = 32
 SLOT_BYTES = 4 << 20
 #: Buckets for each slot: a bucket's suffixes are sorted in memory, by arrays of many times its text.
 BUCKETS_PER_SLOT = 4
-#: Anchors that so many slots hold are dealt window by window.
-HOT_SLOTS = 4096
+#: Anchors with so many segments, added over slots, are dealt by longer grams, then window by window, as a bucket takes up
+#: to 11 KB for each; so are those that as many slots hold.
+HOT_SEGMENTS = 1 << 14
+HOT_SLOTS = HOT_SEGMENTS
 CHUNK = 1 << 20
 NO_ID = -(1 << 63)
 
@@ -114,6 +118,21 @@ def runs(texts: list[bytes], length: int, gram: int) -> Iterator[tuple[np.ndarra
         yield owner[start] + first, start - begin[owner[start]], stop - start, hashes[at[start]]
 
 
+def distinct_segments(texts: list[bytes], length: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct anchor hashes of all texts' runs, and for each how many distinct texts its runs have."""
+    pieces = list(runs(texts, length, gram))
+    if not pieces:
+        return np.zeros(0, np.uint64), np.zeros(0, np.uint32)
+    owner, start, windows, hashes = (np.concatenate(c) for c in zip(*pieces))
+    distinct, which, counts = np.unique(hashes, return_inverse=True, return_counts=True)
+    place = np.flatnonzero(counts[which] > 1)
+    if len(place):
+        seen = {(k, texts[i][a : a + n - 1 + length]) for k, i, a, n in zip(*(c[place].tolist() for c in (which, owner, start, windows)))}
+        several = np.bincount(np.fromiter((k for k, _ in seen), np.int64, len(seen)), minlength=len(distinct))
+        counts = np.where(counts > 1, several, counts)
+    return distinct, counts.astype(np.uint32)
+
+
 # Sorting a bucket's suffixes
 
 
@@ -271,45 +290,66 @@ def united(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def deduplicated(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, slot_bytes: int = SLOT_BYTES, hot_slots: int = HOT_SLOTS, texts: bool = False) -> DataFrame:
+def deduplicated(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, slot_bytes: int = SLOT_BYTES, hot_slots: int = HOT_SLOTS, texts: bool = False, hot_segments: int = HOT_SEGMENTS) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 for each row of docs; with texts also kept, the remaining bytes."""
     shared_dir(docs.sparkSession)
+    bounded(docs.sparkSession)
     rows = docs.select(F.coalesce("doc_id", F.lit(NO_ID).cast("long")).alias("doc_id"), F.col("text").cast("binary").alias("text"))
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     slots = max(1, -(-size // slot_bytes))
     parts, buckets = max(1, -(-slots // 4)), slots * BUCKETS_PER_SLOT
     dealt = rows.withColumn("slot", F.pmod(F.xxhash64("doc_id"), F.lit(slots)).cast("int")).repartition(parts, "slot")
 
-    held_schema = pa.schema([("bucket", pa.int32()), ("slot", pa.int32()), ("hashes", pa.binary())])
+    wide = (gram + length) // 2
+
+    held_schema = pa.schema([("bucket", pa.int32()), ("slot", pa.int32()), ("hashes", pa.binary()), ("counts", pa.binary())])
 
     def held(table: pa.Table) -> pa.Table:
-        found = [h for _, _, _, h in runs([t for _, _, t in _ordered(table)], length, gram)]
-        if not found:
+        return packed(table, *distinct_segments([t for _, _, t in _ordered(table)], length, gram))
+
+    def packed(table: pa.Table, hashes: np.ndarray, counts: np.ndarray) -> pa.Table:
+        if not len(hashes):
             return _table([], held_schema)
         slot = table.column("slot")[0].as_py()
-        hashes = np.unique(np.concatenate(found))
         bucket = hashes % np.uint64(buckets)
         order = np.argsort(bucket, kind="stable")
-        hashes, bucket = hashes[order], bucket[order]
+        hashes, counts, bucket = hashes[order], counts[order], bucket[order]
         edge = np.flatnonzero(np.diff(bucket, prepend=np.uint64(buckets), append=np.uint64(buckets)))
-        return _table([(int(bucket[a]), slot, hashes[a:b].tobytes()) for a, b in zip(edge, edge[1:])], held_schema)
+        return _table([(int(bucket[a]), slot, hashes[a:b].tobytes(), counts[a:b].tobytes()) for a, b in zip(edge, edge[1:])], held_schema)
 
     back_schema = pa.schema([("slot", pa.int32()), ("repeated", pa.binary()), ("hot", pa.binary())])
 
     def shared(table: pa.Table) -> pa.Table:
         owners = table.column("slot").to_pylist()
         parts_ = [np.frombuffer(h, np.uint64) for h in table.column("hashes").to_pylist()]
+        counts = np.concatenate([np.frombuffer(c, np.uint32) for c in table.column("counts").to_pylist()])
         owner = np.repeat(np.arange(len(parts_)), [len(p) for p in parts_])
         hashes = np.concatenate(parts_)
         order = np.argsort(hashes, kind="stable")
-        hashes, owner = hashes[order], owner[order]
+        hashes, owner, counts = hashes[order], owner[order], counts[order]
         first = np.flatnonzero(np.concatenate(([True], hashes[1:] != hashes[:-1])))
-        count = np.repeat(np.diff(first, append=len(hashes)), np.diff(first, append=len(hashes)))
-        hashes, owner, count = hashes[count > 1], owner[count > 1], count[count > 1]
+        size = np.diff(first, append=len(hashes))
+        common = (size >= hot_slots) | (np.add.reduceat(counts, first, dtype=np.int64) >= hot_segments)
+        repeated, common = np.repeat(size > 1, size), np.repeat(common, size)
+        told = repeated | common
+        hashes, owner, repeated, common = hashes[told], owner[told], repeated[told], common[told]
         order = np.argsort(owner, kind="stable")
-        hashes, owner, count = hashes[order], owner[order], count[order]
+        hashes, owner, repeated, common = hashes[order], owner[order], repeated[order], common[order]
         edge = np.flatnonzero(np.diff(owner, prepend=-1, append=-1))
-        return _table([(owners[owner[a]], hashes[a:b].tobytes(), hashes[a:b][count[a:b] >= hot_slots].tobytes()) for a, b in zip(edge, edge[1:])], back_schema)
+        return _table([(owners[owner[a]], hashes[a:b][repeated[a:b]].tobytes(), hashes[a:b][common[a:b]].tobytes()) for a, b in zip(edge, edge[1:])], back_schema)
+
+    gather = lambda back, c: np.unique(np.concatenate([np.zeros(0, np.uint64), *(np.frombuffer(h, np.uint64) for h in back.column(c).to_pylist() if h)]))
+
+    def held_again(table: pa.Table, back: pa.Table) -> pa.Table:
+        hot = gather(back, "hot")
+        if not len(hot):
+            return _table([], held_schema)
+        texts_ = [t for _, _, t in _ordered(table)]
+        parts_: dict[bytes, None] = {}
+        for owner, start, windows, hashes in runs(texts_, length, gram):
+            place = np.flatnonzero(np.isin(hashes, hot))
+            parts_.update((texts_[i][a : a + n - 1 + length], None) for i, a, n in zip(*(c[place].tolist() for c in (owner, start, windows))))
+        return packed(table, *distinct_segments(list(parts_), length, wide))
 
     segment_schema = pa.schema([("bucket", pa.int32()), ("anchor", pa.int64()), ("doc_id", pa.int64()), ("j", pa.int32()), ("start", pa.int64()), ("windows", pa.int64()), ("text", pa.binary())])
 
@@ -320,35 +360,59 @@ def deduplicated(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, slot_b
         if not pieces:
             return _table([], segment_schema)
         owner, start, windows, hashes = (np.concatenate(c) for c in zip(*pieces))
-        gather = lambda c: np.unique(np.concatenate([np.zeros(0, np.uint64), *(np.frombuffer(h, np.uint64) for h in back.column(c).to_pylist())]))
-        elsewhere, hot = gather("repeated"), gather("hot")
+        elsewhere, hot, again, hot_again = (gather(back, c) for c in ("repeated", "hot", "again", "hot_again"))
         distinct, which, count = np.unique(hashes, return_inverse=True, return_counts=True)
         outside, common = np.isin(distinct, elsewhere, assume_unique=True), np.isin(distinct, hot, assume_unique=True)
         chosen = np.flatnonzero((outside | (count > 1))[which])
-        first: dict[tuple[int, bytes], bool] = {}
+        first: set[tuple[int, bytes]] = set()
         variants: dict[int, int] = {}
-        sent, spans = [], []
+        sent, split, spans = [], [], []
+
+        def cover(i: int, a: int, m: int) -> None:
+            doc_id, j, _ = documents[owner[i]]
+            if spans and spans[-1][2] == doc_id and spans[-1][3] == j and spans[-1][4] <= a <= spans[-1][4] + spans[-1][5]:
+                last = spans[-1]
+                spans[-1] = (*last[:5], max(last[5], a + m - last[4]), None)
+            else:
+                spans.append((int(hashes[i] % np.uint64(buckets)), 0, doc_id, j, a, m, None))
+
         for i in chosen.tolist():
             k = int(which[i])
             doc_id, j, text = documents[owner[i]]
-            low, n = int(start[i]), int(windows[i])
-            pieces_ = [(low, n)] if not common[k] else [(low + w, 1) for w in range(n)]
-            for a, m in pieces_:
-                part = text[a : a + m - 1 + length]
-                if (k, part) in first:
-                    if spans and spans[-1][2] == doc_id and spans[-1][3] == j and spans[-1][4] + spans[-1][5] >= a:
-                        last = spans[-1]
-                        spans[-1] = (*last[:5], max(last[5], a + m - last[4]), None)
-                    else:
-                        spans.append((int(hashes[i] % np.uint64(buckets)), 0, doc_id, j, a, m, None))
-                    continue
-                first[k, part] = True
-                variants[k] = variants.get(k, 0) + 1
-                anchor = int(hashes[i].view(np.int64))
-                if common[k]:
-                    anchor = int.from_bytes(hashlib.blake2b(part, digest_size=8).digest(), "little", signed=True)
-                sent.append((k, (anchor & (1 << 64) - 1) % buckets, anchor, doc_id, j, a, m, part))
+            a, m = int(start[i]), int(windows[i])
+            part = text[a : a + m - 1 + length]
+            if (k, part) in first:
+                cover(i, a, m)
+                continue
+            first.add((k, part))
+            if common[k]:
+                split.append((i, part))
+                continue
+            variants[k] = variants.get(k, 0) + 1
+            sent.append((k, int(hashes[i] % np.uint64(buckets)), int(hashes[i].view(np.int64)), doc_id, j, a, m, part))
         out = [row[1:] for row in sent if outside[row[0]] or variants[row[0]] > 1]
+        pieces = list(runs([part for _, part in split], length, wide))
+        if pieces:
+            part_of, inner, size, wider = (np.concatenate(c) for c in zip(*pieces))
+            values, value, times = np.unique(wider, return_inverse=True, return_counts=True)
+            outside, common = np.isin(values, again, assume_unique=True), np.isin(values, hot_again, assume_unique=True)
+            place = np.flatnonzero((outside | (times > 1))[value])
+            first, variants, sent = set(), {}, []
+            for p, low, n, k in zip(*(c[place].tolist() for c in (part_of, inner, size, value))):
+                i, part = split[p]
+                doc_id, j, _ = documents[owner[i]]
+                for w, m in [(low, n)] if not common[k] else [(low + w, 1) for w in range(n)]:
+                    piece, a = part[w : w + m - 1 + length], int(start[i]) + w
+                    if (k, piece) in first:
+                        cover(i, a, m)
+                        continue
+                    first.add((k, piece))
+                    variants[k] = variants.get(k, 0) + 1
+                    anchor = int(values[k].view(np.int64))
+                    if common[k]:
+                        anchor = int.from_bytes(hashlib.blake2b(piece, digest_size=8).digest(), "little", signed=True)
+                    sent.append((k, (anchor & (1 << 64) - 1) % buckets, anchor, doc_id, j, a, m, piece))
+            out += [row[1:] for row in sent if outside[row[0]] or variants[row[0]] > 1]
         return _table(out + spans, segment_schema)
 
     span_schema = pa.schema([("slot", pa.int32()), ("doc_id", pa.int64()), ("j", pa.int32()), ("start", pa.int64()), ("end", pa.int64())])
@@ -383,7 +447,11 @@ def deduplicated(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, slot_b
             out.append((*row, rest) if texts else row)
         return _table(out, result_schema)
 
-    back = dealt.groupBy("slot").applyInArrow(held, "bucket int, slot int, hashes binary").groupBy("bucket").applyInArrow(shared, "slot int, repeated binary, hot binary")
+    held_ddl, back_ddl = "bucket int, slot int, hashes binary, counts binary", "slot int, repeated binary, hot binary"
+    back = dealt.groupBy("slot").applyInArrow(held, held_ddl).groupBy("bucket").applyInArrow(shared, back_ddl)
+    once_more = dealt.groupBy("slot").cogroup(back.groupBy("slot")).applyInArrow(held_again, held_ddl).groupBy("bucket").applyInArrow(shared, back_ddl)
+    none = F.lit(None).cast("binary")
+    back = back.withColumns({"again": none, "hot_again": none}).union(once_more.select("slot", none, none, "repeated", "hot"))
     sent = dealt.groupBy("slot").cogroup(back.groupBy("slot")).applyInArrow(segments, "bucket int, anchor long, doc_id long, j int, start long, windows long, text binary")
     spans = sent.groupBy("bucket").applyInArrow(covered, "slot int, doc_id long, j int, start long, end long")
     spans = spans.withColumn("slot", F.pmod(F.xxhash64("doc_id"), F.lit(slots)).cast("int"))
